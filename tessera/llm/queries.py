@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding
+from . import bpe, mixing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +61,10 @@ select doc_id, source, unnest(range(times))::int as copy from d
 """
 
 
-QUERIES = {q.__name__: q for q in (op3_minimax_shards, op7_byte_bpe, op8_mix_sources)}
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rejected as toxic, with their passages."""
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {q.__name__: q for q in (op3_minimax_shards, op7_byte_bpe, op8_mix_sources, op9_toxic_segments)}
 SQL = {"op3_minimax_shards": OP3_SQL, "op8_mix_sources": OP8_SQL}
