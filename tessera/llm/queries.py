@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, toxicity
+from . import bpe, mixing, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that is a near duplicate of an earlier one, and which."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard, of 64, by bytes of text in order of doc_id."""
     return sharding.shard(table(spark, sf_dir, "documents")).withColumnRenamed("size", "n_bytes")
@@ -66,5 +71,5 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op3_minimax_shards, op7_byte_bpe, op8_mix_sources, op9_toxic_segments)}
+QUERIES = {q.__name__: q for q in (op2_simhash_forest, op3_minimax_shards, op7_byte_bpe, op8_mix_sources, op9_toxic_segments)}
 SQL = {"op3_minimax_shards": OP3_SQL, "op8_mix_sources": OP8_SQL}
