@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash, toxicity
+from . import bpe, debruijn, mixing, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +71,10 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op2_simhash_forest, op3_minimax_shards, op7_byte_bpe, op8_mix_sources, op9_toxic_segments)}
+def op10_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of at least 50 tokens that occur again, in the same document or in others."""
+    return debruijn.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op2_simhash_forest, op3_minimax_shards, op7_byte_bpe, op8_mix_sources, op9_toxic_segments, op10_debruijn_repeats)}
 SQL = {"op3_minimax_shards": OP3_SQL, "op8_mix_sources": OP8_SQL}
