@@ -1,8 +1,54 @@
-"""The corpus pipeline."""
+"""From raw documents to token ids: five stages, each over all that the one before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import bpe, debruijn, mixing, simhash, toxicity
+from tessera.llm.common import Scratch
+
+#: Sampling by hash and learnt scores aside, fingerprints and edge hashes have no SQL counterpart.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with significant toxic passages go."""
+    return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay where they occur first."""
+    return debruijn.drop_repeats(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources get equal shares of the corpus's bytes, at most four epochs each."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, n_bytes, round_trip) of each row."""
+    return bpe.encode(docs)
+
+
+STAGES = [("toxicity", toxic), ("simhash near-dedup", near_duplicates), ("substring dedup", substrings), ("mixing", mixture), ("byte-level BPE", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`; each but the last is written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        after = scratch.save(out)
+        if i:
+            scratch.drop(docs)
+        docs = after
+    return docs
