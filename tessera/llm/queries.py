@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, mixing, sharding, simhash, toxicity
+from . import bpe, cascade, crf, debruijn, metric_join, mixing, sharding, simhash, suffix_tree, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of embeddings with a cosine of at least 0.96."""
+    return metric_join.range_join(table(spark, sf_dir, "embeddings")).toDF("vec_id_a", "vec_id_b")
+
+
+OP1_SQL = """
+select distinct a.vec_id as vec_id_a, b.vec_id as vec_id_b
+from embeddings a join embeddings b on a.vec_id < b.vec_id
+where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.96
+"""
+
+
 def op2_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that is a near duplicate of an earlier one, and which."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -43,6 +55,36 @@ select doc_id, n as n_bytes, (select count(*) from cuts where j > 0 and cuts.e <
 """
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which at least half the words are in lines labelled content."""
+    docs = table(spark, sf_dir, "documents")
+    return crf.kept_documents(docs, crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability and perplexity under the tree of all documents."""
+    return suffix_tree.score_corpus(table(spark, sf_dir, "documents"))
+
+
+def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, listed): pages whose URL key is on the block list.
+
+    The tables hold no block list.  An eighth of all URL keys stands for one: those whose MD5 begins with 0 or 1.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    keys = pages.select(cascade.url_key(F.col("url")).alias("key"))
+    listed = keys.where(F.substring(F.md5("key"), 1, 1).isin("0", "1"))
+    return cascade.flag(pages, cascade.cascade(keys, listed), cascade.url_key(F.col("url")))
+
+
+OP6_SQL = r"""
+with k as (select page_id, url,
+             regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://(www\.|m\.)?', ''), '[?#].*$', '', 's'), '/+$', '') as key
+           from pages)
+select page_id, url, coalesce(key in (select key from k where key is not null and substr(md5(key), 1, 1) in ('0', '1')), false) as listed from k
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, decoded again for the check of the round trip."""
     return bpe.encode(table(spark, sf_dir, "documents"))
@@ -76,5 +118,5 @@ def op10_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_simhash_forest, op3_minimax_shards, op7_byte_bpe, op8_mix_sources, op9_toxic_segments, op10_debruijn_repeats)}
-SQL = {"op3_minimax_shards": OP3_SQL, "op8_mix_sources": OP8_SQL}
+QUERIES = {q.__name__: q for q in (op1_metric_range_join, op2_simhash_forest, op3_minimax_shards, op4_line_crf, op5_suffix_tree_scores, op6_url_cascade, op7_byte_bpe, op8_mix_sources, op9_toxic_segments, op10_debruijn_repeats)}
+SQL = {"op1_metric_range_join": OP1_SQL, "op3_minimax_shards": OP3_SQL, "op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL}
