@@ -16,12 +16,20 @@ from .compile import compile_plan, finish
 from .engine import Engine
 from .plans.nodes import joins
 from .plans.planjson import from_json, plan_hash, query_hash, to_json
-from .sources.base import union  # noqa: F401  (part of the public surface for hand-built plans)
 
 CAP_S = 60
 SCHEMA = "run_id string, query_name string, query string, query_hash string, plan_hash string, plan string, sources array<string>, status string, t_start double, t_end double, t_delta double, result_count long, requests long, path string"
 
 
+def produced(o, wait: float = 10.0) -> int:
+    """Rows that an observed join had; 0 if Spark found it empty and left it out, so that it never reports."""
+    got: list[int] = []
+    t = threading.Thread(target=lambda: got.append(o.get["n"]), daemon=True)
+    t.start()
+    t.join(wait)
+    return got[0] if got else 0
+
+
 class Runs:
     """A table of runs at `path`, in Parquet: one row a run, and each run's answers beside it."""
 
@@ -43,15 +51,17 @@ class Runs:
                 raise RuntimeError("this plan is already running")
             self.reserved.add(key)
         run_id, start, out = uuid.uuid4().hex, time.time(), f"{self.path}/answers"
-        status, n, recorded, cut = "done", 0, plan, threading.Event()
+        status, n, recorded, cut, over = "done", 0, plan, threading.Event(), threading.Event()
         tag = f"run-{run_id}"
 
         def stop() -> None:
             cut.set()
-            self.spark.interruptTag(tag)
+            while not over.is_set():  # a job may begin after the first call
+                self.spark.sparkContext.cancelJobsWithTag(tag)
+                over.wait(0.5)
 
         timer = threading.Timer(cap, stop)
-        self.spark.addTag(tag)
+        self.spark.sparkContext.addJobTag(tag)
         try:
             timer.start()
             tree = from_json(plan, self.engine.sources, q.prefixes)
@@ -61,12 +71,15 @@ class Runs:
             df.write.mode("overwrite").parquet(out)
             n = self.spark.read.parquet(out).count()
             # a slice may end the joins early: what they counted is what they produced
-            recorded = to_json(tree, {i: o.get["n"] for i, (_, o) in enumerate(zip(joins(tree), seen))})
+            recorded = to_json(tree, {i: produced(o) for i, (_, o) in enumerate(zip(joins(tree), seen))})
+            if cut.is_set():
+                raise TimeoutError
         except Exception:
             status = "timeout" if cut.is_set() else "failed"
         finally:
+            over.set()
             timer.cancel()
-            self.spark.removeTag(tag)
+            self.spark.sparkContext.removeJobTag(tag)
             with self.lock:
                 self.reserved.discard(key)
         end = time.time()
