@@ -132,24 +132,33 @@ def gradient(model: Model, batch: list[tuple[np.ndarray, np.ndarray]]) -> tuple[
     return float(ll), emit, (seen - pair).sum(axis=(0, 1))
 
 
+def steps_matrix() -> np.ndarray:
+    """Weights as sums of steps from class to class of a feature, so that a class learns from its neighbours."""
+    c = np.eye(FEATURES)
+    for k, b in BINS.items():
+        at, n = OFFSETS[k], len(b) + 1
+        c[at : at + n, at : at + n] = np.tril(np.ones((n, n)))
+    return c
+
+
 def fit_sequences(data: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS) -> Model:
     """Penalised maximum likelihood by Adam, over whole sequences in batches of like length."""
     data = sorted(data, key=lambda d: len(d[1]))
     batches = [data[i : i + 128] for i in range(0, len(data), 128)]
-    w = [np.zeros((FEATURES, 2)), np.zeros((2, 2))]
+    c, w = steps_matrix(), [np.zeros((FEATURES, 2)), np.zeros((2, 2))]
     m, v = [0 * x for x in w], [0 * x for x in w]
     n = sum(len(y) for _, y in data)
     for step in range(1, steps + 1):
-        g = [-L2 * x for x in w]
+        g, model = [-L2 * x for x in w], Model(c @ w[0], w[1])
         for b in batches:
-            _, ge, gm = gradient(Model(*w), b)
-            g[0] += ge
+            _, ge, gm = gradient(model, b)
+            g[0] += c.T @ ge
             g[1] += gm
         for i in range(2):
             m[i] = 0.9 * m[i] + 0.1 * g[i] / n
             v[i] = 0.999 * v[i] + 0.001 * (g[i] / n) ** 2
             w[i] = w[i] + 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return Model(*w)
+    return Model(c @ w[0], w[1])
 
 
 def fit(texts: list[tuple[str, int]]) -> Model:
@@ -170,19 +179,19 @@ def fit_features(data: list[tuple[np.ndarray, int]]) -> Model:
         emit = np.zeros((FEATURES, 2))
         emit[-1, CONTENT] = 1
         return Model(emit, np.zeros((2, 2)))
-    x, y = np.concatenate([d for d, _ in data]), np.concatenate([np.full(len(d), c) for d, c in data])
+    x, y = np.concatenate([d for d, _ in data]), np.concatenate([np.full(len(d), k) for d, k in data])
     # each line by itself: logistic regression, both classes of equal weight
-    w, m, v = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
+    c, theta, m, v = steps_matrix(), np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     for step in range(1, 301):
-        p = 1 / (1 + np.exp(-w[x].sum(axis=1)))
-        g = np.bincount(x.ravel(), np.repeat((y - p) * share, x.shape[1]), FEATURES) - 1e-4 * w
+        p = 1 / (1 + np.exp(-(c @ theta)[x].sum(axis=1)))
+        g = c.T @ np.bincount(x.ravel(), np.repeat((y - p) * share, x.shape[1]), FEATURES) - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    sequences = []
-    for d, c in data:
+        theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    sequences, w = [], c @ theta
+    for d, bad in data:
         p = 1 / (1 + np.exp(-w[d].sum(axis=1)))
-        sequences.append((d, (p > 0.5).astype(np.int64) if c else (p > 0.95).astype(np.int64)))
+        sequences.append((d, (p > 0.5).astype(np.int64) if bad else (p > 0.95).astype(np.int64)))
     return fit_sequences(sequences)
 
 
