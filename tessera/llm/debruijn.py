@@ -136,7 +136,7 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, Data
     texts: (id, t, n) of each document with text.  occurrences: (u, v, t, pos,
     ct, cpos, fork) of each edge that occurs at least twice in different texts
     or places; (ct, cpos) is the least of its coordinates and fork says that
-    other edges leave u.
+    other edges leave u; u and v are null in all other places.
     """
     base = scratch.save(seeds(docs, k))
     coord = F.struct("t", "pos")
@@ -146,8 +146,10 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, Data
     texts = docs.where("text is not null").select("t", "text").join(marks, "t")
     by_edge = W.partitionBy("u", "v")
     twice = edges(texts, k).repartition("u").withColumn("c", F.min(coord).over(by_edge)).withColumn("hi", F.max(coord).over(by_edge)).where("c <> hi").drop("hi")
-    by_node = W.partitionBy("u")
-    found = twice.withColumn("fork", F.min("v").over(by_node) != F.max("v").over(by_node)).select("u", "v", "t", "pos", F.col("c.t").alias("ct"), F.col("c.pos").alias("cpos"), "fork")
+    by_node, first = W.partitionBy("u"), F.struct("t", "pos") == F.col("c")
+    # nodes are asked for where an edge occurs first, and only there
+    at_first = lambda c: F.when(first, F.col(c)).alias(c)
+    found = twice.withColumn("fork", F.min("v").over(by_node) != F.max("v").over(by_node)).select(at_first("u"), at_first("v"), "t", "pos", F.col("c.t").alias("ct"), F.col("c.pos").alias("cpos"), "fork")
     return base.select("id", "t", "n"), scratch.save(found)
 
 
@@ -159,7 +161,7 @@ def paths(found: DataFrame, scratch: Scratch) -> DataFrame:
     the chains of such stretches are found as components.  A path's name is its
     least stretch.
     """
-    first = found.where("t = ct and pos = cpos").select("u", "v", "t", "pos", "fork").distinct()
+    first = found.where("t = ct and pos = cpos").select("u", "v", "t", "pos", "fork").repartition("v").distinct()
     by_end, by_text = W.partitionBy("v"), W.partitionBy("t").orderBy("pos")
     step = first.withColumn("meet", F.min("u").over(by_end) != F.max("u").over(by_end))
     runs = step.withColumn("new", ~F.coalesce((F.lag("pos").over(by_text) == F.col("pos") - 1) & ~F.lag("meet").over(by_text) & ~F.col("fork"), F.lit(False)))
@@ -176,7 +178,7 @@ def paths(found: DataFrame, scratch: Scratch) -> DataFrame:
 def spans(found: DataFrame, k: int) -> DataFrame:
     """(t, start, end, cuts): maximal stretches of tokens that repeated edges cover, and what of each isn't a first occurrence."""
     by_text = W.partitionBy("t").orderBy("pos")
-    each = found.select("t", "pos", ((F.col("t") == F.col("ct")) & (F.col("pos") == F.col("cpos"))).alias("first")).distinct()
+    each = found.select("t", "pos", ((F.col("t") == F.col("ct")) & (F.col("pos") == F.col("cpos"))).alias("first")).repartition("t").distinct()
     # covered stretches join where windows touch: [pos, pos + k) and the next
     gap = lambda c: (F.coalesce(c - F.last(c, ignorenulls=True).over(by_text.rowsBetween(W.unboundedPreceding, -1)), F.lit(k + 1)) > k).cast("int")
     runs = each.withColumn("span", F.sum(gap(F.col("pos"))).over(by_text)).withColumn("later", F.when(~F.col("first"), F.col("pos")))
@@ -212,7 +214,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     path = paths(found, scratch)
     own = spans(found, k)
     # which paths run through a span: stretches of its edges' first occurrences
-    piece = found.select("t", "pos", "ct", "cpos").distinct().groupBy("t", "ct", (F.col("pos") - F.col("cpos")).alias("shift")).agg(F.min("cpos").alias("lo"), F.max("cpos").alias("hi"))
+    piece = found.select("t", "pos", "ct", "cpos").groupBy("t", "ct", (F.col("pos") - F.col("cpos")).alias("shift")).agg(F.min("cpos").alias("lo"), F.max("cpos").alias("hi"))
     through = piece.join(path.select(F.col("t").alias("ct"), F.col("start").alias("ps"), F.col("end").alias("pe"), "path"), "ct").where("ps <= hi and pe > lo").select("t", (F.greatest("ps", "lo") + F.col("shift")).alias("x"), "path")
     counted = own.join(through, "t").where("x >= start and x < end").groupBy("t", "start").agg(F.countDistinct("path").alias("n_paths"))
     own = own.join(counted, ["t", "start"], "left")
