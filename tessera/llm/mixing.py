@@ -49,9 +49,10 @@ def source_epochs(docs: DataFrame, weights: Mapping[str, float] | None = None, *
         .withColumn("left", F.col("total") - F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("cap")).otherwise(0.0)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("w_left", F.sum("w").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
         .withColumn("level", F.when(F.col("w") > 0, F.col("left") / F.col("w_left")))
+        .withColumn("place", F.row_number().over(order))
     )
     # The first source whose cap isn't exceeded at its own level sets the level of all after it.
-    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(everything)["level"]
+    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("place"), F.col("level")))).over(everything)["level"]
     alloc = F.when(F.col("w") > 0, F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap")))).otherwise(0.0)
     return filled.withColumn("alloc", alloc).select("source", "size", "weight", "alloc", F.when(F.col("size") > 0, F.col("alloc") / F.col("size")).otherwise(0.0).alias("epochs"))
 

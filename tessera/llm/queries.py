@@ -99,8 +99,9 @@ OP8_SQL = """
 with s as (select source, sum(coalesce(strlen(text), 0))::double as size from documents group by source),
 f as (select source, size, 4.0 * size as cap, case when size > 0 then 1.0 else 0.0 end as w, sum(size) over () as total from s),
 o as (select *, total - coalesce(sum(case when w > 0 then cap else 0 end) over (order by case when w > 0 then cap end nulls last, source nulls first rows between unbounded preceding and 1 preceding), 0) as rest,
-        sum(w) over (order by case when w > 0 then cap end nulls last, source nulls first rows between current row and unbounded following) as w_rest from f),
-lv as (select arg_min(rest / w_rest, cap) as level from o where w > 0 and rest / w_rest <= cap),
+        sum(w) over (order by case when w > 0 then cap end nulls last, source nulls first rows between current row and unbounded following) as w_rest,
+        row_number() over (order by case when w > 0 then cap end nulls last, source nulls first) as place from f),
+lv as (select arg_min(rest / w_rest, place) as level from o where w > 0 and rest / w_rest <= cap),
 e as (select source, case when size > 0 then least(cap, coalesce(level, cap)) / size else 0 end as e from o, lv),
 d as (select doc_id, d.source, floor(e)::bigint + case when ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0::double < e - floor(e) then 1 else 0 end as times
       from documents d join e on d.source is not distinct from e.source)

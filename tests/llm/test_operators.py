@@ -440,12 +440,13 @@ def test_segments():
 
 
 def test_toxic_holds_out(spark):
-    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    """On sf0.1; the odd half of sf0.01 has but 16 different toxic texts to learn from, and 26 of 35 are found there."""
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, lab.where("doc_id % 2 = 0"))
     found = {r["doc_id"] for r in toxicity.score(docs, model).collect()}
     truth = lab.where("doc_id % 2 = 1").collect()
     bad, good = [r["doc_id"] for r in truth if r["toxic"] == 1], [r["doc_id"] for r in truth if r["toxic"] == 0]
-    assert sum(i in found for i in bad) >= 0.8 * len(bad) and sum(i in found for i in good) <= 0.02 * len(good)
+    assert sum(i in found for i in bad) >= 0.9 * len(bad) and sum(i in found for i in good) <= 0.005 * len(good)
 
 
 def test_toxic_awkward(spark):
