@@ -1,5 +1,8 @@
 """The pipeline's stages, and the queries against their SQL."""
 
+import sys
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
@@ -36,3 +39,19 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns[:2] == ["doc_id", "token_ids"] and out.count() > 0 and out.where("not round_trip").count() == 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_awkward_tables(spark, tmp_path, empty):
+    """Nulls anywhere, empty and very long texts, repeated rows, one id with two texts, extra columns of any name, no rows."""
+    sys.path.insert(0, str(Path(__file__).parent))
+    from test_operators import awkward, labels
+
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = awkward(spark, empty)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        columns, docs = docs.columns, spark.read.parquet(str(tmp_path / name))
+        assert name == "byte-level BPE" or docs.columns == columns
+        assert empty or docs.where("doc_id = 7").count() > 0 or name == "mixing"
+    assert empty == (docs.count() == 0)
