@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cascade, crf, debruijn, metric_join, mixing, sharding, simhash, suffix_tree, toxicity
+from . import bpe, cascade, context_tree, crf, debruijn, metric_join, mixing, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log-probability and perplexity under the tree of all documents."""
-    return suffix_tree.score_corpus(table(spark, sf_dir, "documents"))
+    return context_tree.score_corpus(table(spark, sf_dir, "documents"))
 
 
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

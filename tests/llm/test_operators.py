@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cascade, components, crf, debruijn, metric_join, mixing, sharding, simhash, suffix_tree, toxicity
+from tessera.llm import bpe, cascade, components, context_tree, crf, debruijn, metric_join, mixing, sharding, simhash, suffix_tree, toxicity
 from tessera.llm.common import Scratch
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
@@ -547,3 +547,46 @@ def test_minimizers_agree():
         one, two = (np.flatnonzero(s.windows(s.minimizers(k), k) == at) for s, at in ((a, 9 + i), (b, 2 + i)))
         assert len(one) == len(two) == 1
     assert (a.grams(k)[-9:] == debruijn.NONE).all()
+
+
+# -- 5, words
+
+
+def test_words_tree_against_counting(spark):
+    rng = random.Random(5)
+    lead = [f"q{i}" for i in range(9)]
+    texts = [" ".join([rng.choice("ab"), *lead, "yes" if i % 2 else "no"] + [rng.choice(["red", "blue", "one\ntwo", ""]) for _ in range(12)]) for i in range(300)]
+    # what comes after nine equal words depends on the word before them
+    texts += [f"{'left' if i % 2 else 'right'} {' '.join(lead)} {'up' if i % 2 else 'down'}" for i in range(300)] + ["", "a", texts[0]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    seqs = [["<", *context_tree.tokens(t), ">"] for t in texts]
+    count, deepest = collections.defaultdict(collections.Counter), 0
+    for s in seqs:
+        for i in range(1, len(s)):
+            for d in range(i + 1):
+                count[tuple(s[i - d : i])][s[i]] += 1
+    base, memo = count[()], {}
+
+    def dist(ctx):
+        """By definition, over every context of any depth: (longest kept suffix, P by next word)."""
+        if not ctx:
+            return 0, {x: (n + 0.5) / (sum(base.values()) + 0.5 * (len(base) + 1)) for x, n in base.items()}
+        if ctx not in memo:
+            d, parent = dist(ctx[1:])
+            own, n = count[ctx], sum(count[ctx].values())
+            g2 = 2 * sum(k * math.log(k / n / parent[x]) for x, k in own.items())
+            keep = n >= 50 and g2 >= context_tree.critical(max(len(own) - 1, 1)) and g2 >= 2 * n * 0.002
+            memo[ctx] = (len(ctx), {x: (own[x] + 10 * p) / (n + 10) for x, p in parent.items()}) if keep else (d, parent)
+        return memo[ctx]
+
+    got = {r["doc_id"]: r for r in context_tree.score_corpus(df).collect()}
+    for i, s in enumerate(seqs):
+        want = 0
+        for j in range(1, len(s)):
+            d, p = dist(tuple(s[:j]))
+            want, deepest = want + math.log(p[s[j]]), max(deepest, d)
+        assert got[i]["n_symbols"] == len(s) - 1 and got[i]["log_prob"] == pytest.approx(want, rel=1e-4)
+    assert deepest >= 10 and got[len(texts)]["log_prob"] is None
+    for empty in (True, False):
+        d = awkward(spark, empty)
+        assert context_tree.score_corpus(d).count() == d.count()
