@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ MIN_G2, MIN_LOG_ODDS = 20.0, 2.5
 #: Weight of the word-level Dirichlet prior against a class's tokens, and pseudo-count of a prefix.
 PRIOR_SHARE, PREFIX_PRIOR = 0.1, 0.5
 PREFIX = 4
+#: Weight, in texts with a hit, of the theory's lambda = 1 in the calibration.
+LAMBDA_PRIOR = 10.0
 #: A document is rejected, and a passage reported, at most at this p-value.
 ALPHA = 0.001
 
@@ -28,12 +30,13 @@ WORDS = re.compile(r"\w+").findall
 
 @dataclass(frozen=True)
 class Model:
-    """Scores (natural log-odds, toxic over clean) of words and prefixes; all else scores `other`; K calibrates."""
+    """Scores (natural log-odds, toxic over clean) of words and prefixes; all else scores `other`; K and lambda calibrate."""
 
     words: dict[str, float]
     prefixes: dict[str, float]
     other: float
     k: float
+    rate: float = 1.0
 
 
 def fit(counts: list[tuple[str, float, float]]) -> Model:
@@ -129,19 +132,38 @@ def runs(n: int, hits: list[tuple[int, float]], other: float):
         yield at, n, (n - at) * other
 
 
-def p_value(best: list[float], n: int, k: float) -> float:
+def calibrate(model: Model, best: list[tuple[int, float]]) -> Model:
+    """K and lambda from clean texts: (tokens, best segment's score, 0 if there is none).
+
+    By maximum likelihood of P(best <= s) = exp(-K n e^(-lambda s)); a best
+    score below the least that counts is known only to be below.  Lambda has a
+    Gamma prior about 1, its value for exact log-odds, and K a text with a hit
+    more than was seen, so that few hits don't make p-values too small.
+    """
+    if not (model.words or model.prefixes) or not any(n for n, _ in best):
+        return model
+    n, s = np.array([(n, s) for n, s in best if n > 0], float).T
+    hit, m = s >= MIN_LOG_ODDS, np.maximum(s, MIN_LOG_ODDS)
+    r = hit.sum()
+    rates = np.linspace(0.2, 2, 181)
+    mass = np.array([(n * np.exp(-x * m)).sum() for x in rates])
+    fit = (r + LAMBDA_PRIOR) * np.log(rates) - rates * (s[hit].sum() + LAMBDA_PRIOR) - (r + 1) * np.log(mass)
+    at = int(fit.argmax())
+    return replace(model, k=min(1.0, float((r + 1) / mass[at])), rate=float(rates[at]))
+
+
+def p_value(best: list[float], n: int, k: float, rate: float = 1.0) -> float:
     """Of a text of n tokens, from its segments' scores in falling order.
 
-    Scores are log-odds, so the Karlin-Altschul rate lambda is 1 and the best
-    of a clean text exceeds s about K n e^-s times.  For the r best together,
-    T = sum(s - ln K n) has the tail e^-T T^(r-1) / (r! (r-1)!); r is chosen
+    The best of a clean text exceeds s about K n e^(-lambda s) times, with
+    the rate lambda.  For the r best together, T = sum(lambda s - ln K n) has the tail e^-T T^(r-1) / (r! (r-1)!); r is chosen
     per text, and 2^-r is its weight.
     """
     if not best or n <= 0:
         return 1.0
-    p, t, log_kn = 1.0, 0.0, math.log(max(k * n, 1.0))
+    p, t, log_kn = 1.0, 0.0, math.log(k * n)
     for r, s in enumerate(best, 1):
-        t += s - log_kn
+        t += rate * s - log_kn
         if t <= 0:
             break
         tail = 1 - math.exp(-math.exp(-t)) if r == 1 else math.exp(-t + (r - 1) * math.log(t) - math.lgamma(r + 1) - math.lgamma(r))
@@ -157,8 +179,8 @@ def judge(text: str, model: Model, alpha: float) -> tuple[int, float, list[tuple
     if not hits:
         return n, 1.0, []
     found = segments(runs(n, hits, model.other))
-    p = p_value(sorted((s for _, _, s in found), reverse=True), n, model.k)
-    return n, p, [x for x in found if p_value([x[2]], n, model.k) <= alpha]
+    p = p_value(sorted((s for _, _, s in found), reverse=True), n, model.k, model.rate)
+    return n, p, [x for x in found if p_value([x[2]], n, model.k, model.rate) <= alpha]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> Model:
@@ -166,27 +188,45 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     Labels other than 0 and 1, null ids and ids that are labelled both ways
     are left out.  Without texts of both classes the model rejects nothing.
-    Equal texts count once.  K stays at 1, its upper bound for log-odds scores.
+    Equal texts count once.  K and lambda are fitted to the sample's clean
+    texts, each scored by a model of the half of the sample that it isn't in.
     """
     ids = labels.select(F.col(doc_id).alias("k"), F.col(toxic).alias("y")).where("k is not null and y in (0, 1)").groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("k", "y")
     ids = ids.select("k", "y", F.xxhash64("k").alias("h"))
     sample = ids.where("y = 1").orderBy("h", "k").limit(per_class).unionByName(ids.where("y = 0").orderBy("h", "k").limit(per_class)).select("k", "y")
     chosen = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(sample), "k").select("y", "t").dropDuplicates(["y", "t"])  # at most 2 per_class rows
 
+    chosen = chosen.select("y", "t", (F.xxhash64("t") % 2 != 0).cast("int").alias("half"))
+
     def count(batches):
         from collections import Counter
 
-        seen = (Counter(), Counter())
+        seen = {(y, h): Counter() for y in (0, 1) for h in (0, 1)}
         for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[y].update(set(WORDS(t.lower())))
-        for y in (0, 1):
-            if seen[y]:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen[y])), pa.array([y] * len(seen[y]), pa.int32()), pa.array(list(seen[y].values()), pa.int64())], names=["w", "y", "n"])
-
-    table = chosen.mapInArrow(count, "w string, y int, n long").groupBy("w").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
+            for y, t, h in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                seen[y, h].update(set(WORDS(t.lower())))
+        for (y, h), c in seen.items():
+            if c:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array([2 * y + h] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["w", "c", "n"])
+
+    sums = [F.sum(F.when(F.col("c") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(4)]
+    table = chosen.mapInArrow(count, "w string, c int, n long").groupBy("w").agg(*sums)
     counts = table.toPandas()  # as bounded as the sample
-    return fit(list(zip(counts["w"], counts["t"], counts["c"])))
+    w, n = list(counts["w"]), [counts[f"n{i}"].to_numpy() for i in range(4)]
+    of = lambda t, c: fit([x for x in zip(w, t, c) if x[1] or x[2]])
+    model, halves = of(n[2] + n[3], n[0] + n[1]), (of(n[2], n[0]), of(n[3], n[1]))
+
+    def best(batches):
+        for b in batches:
+            rows = []
+            for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                other = halves[1 - h]
+                size, hits = token_scores(t, other)
+                if other.words or other.prefixes:
+                    rows.append((size, max((s for _, _, s in segments(runs(size, hits, other.other))), default=0.0)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.float64())], names=["n", "s"])
+
+    return calibrate(model, [tuple(r) for r in chosen.where("y = 0").mapInArrow(best, "n int, s double").collect()])
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA, keep: bool = False, columns: list[str] | None = None) -> DataFrame:

@@ -590,3 +590,24 @@ def test_words_tree_against_counting(spark):
     for empty in (True, False):
         d = awkward(spark, empty)
         assert context_tree.score_corpus(d).count() == d.count()
+
+
+# -- 9, calibration
+
+
+def test_toxic_calibration_is_fitted(spark):
+    m = toxicity.Model({"vile": 6.0}, {}, -1.0, 1.0)
+    rng = np.random.default_rng(1)
+    n = rng.integers(50, 3000, 4000)
+    best = (np.log(0.05 * n) - np.log(-np.log(rng.random(4000)))) / 1.2
+    got = toxicity.calibrate(m, [(int(a), max(float(b), 0.0)) for a, b in zip(n, best)])
+    assert got.k == pytest.approx(0.05, rel=0.3) and got.rate == pytest.approx(1.2, rel=0.1)
+    assert toxicity.calibrate(m, []) == m
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    for half in (0, 1):
+        model = toxicity.train(docs, lab.where(f"doc_id % 2 = {half}"))
+        found = {r["doc_id"] for r in toxicity.score(docs, model).collect()}
+        truth = lab.where(f"doc_id % 2 = {1 - half}").collect()
+        bad, good = [r["doc_id"] for r in truth if r["toxic"] == 1], [r["doc_id"] for r in truth if r["toxic"] == 0]
+        print(half, model.k, model.rate, sum(i in found for i in bad), len(bad), sum(i in found for i in good), len(good))
+        assert 0 < model.k < 1 and sum(i in found for i in bad) > 0.92 * len(bad) and sum(i in found for i in good) <= 0.005 * len(good)
