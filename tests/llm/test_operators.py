@@ -611,3 +611,12 @@ def test_toxic_calibration_is_fitted(spark):
         bad, good = [r["doc_id"] for r in truth if r["toxic"] == 1], [r["doc_id"] for r in truth if r["toxic"] == 0]
         print(half, model.k, model.rate, sum(i in found for i in bad), len(bad), sum(i in found for i in good), len(good))
         assert 0 < model.k < 1 and sum(i in found for i in bad) > 0.92 * len(bad) and sum(i in found for i in good) <= 0.005 * len(good)
+
+
+# -- 1, dimensions
+
+
+def test_range_join_takes_every_dimension(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [3.0, 0.0, 0.0]), (6, [-1.0]), (7, [-2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in metric_join.range_join(df).collect()) == [(1, 2), (4, 5), (6, 7)]
