@@ -93,23 +93,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """(slice of a batch, its texts), cut so that a slice holds about `chars` bytes of text.
+def cut(b: pa.RecordBatch, text_at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about `size` bytes of text each; a longer text is a slice of its own, never cut."""
+    total = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(text_at)), 0)).cumsum(dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        base = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, base + size, side="right")))
+        yield b.slice(at, end - at)
+        at = end
 
-    A text longer than that is a slice of its own: texts are never cut.
-    """
+
+def chunks(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """(slice of a batch, its texts), as cut() makes them."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        col = b.column(text_at)
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).cumsum()
-        at = 0
-        while at < b.num_rows:
-            base = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, base + chars, side="right")))
-            part = b.slice(at, end - at)
+        for part in cut(b, text_at, chars):
             yield part, part.column(text_at).to_pylist()
-            at = end
 
 
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:

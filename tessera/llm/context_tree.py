@@ -3,25 +3,33 @@
 from __future__ import annotations
 
 import gc
-import os
-from dataclasses import dataclass, field
+import math
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-import pyarrow.parquet as pq
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, chunks, hash_words, worker_store
-from .suffix_tree import MIN_COUNT, MIN_G2, MIN_KL, PRIOR
+from .common import Scratch, cut, mix
 
+#: A context is kept if it occurs this often and its next words diverge from those of its longest kept suffix: G2 = 2 N KL
+#: at least critical() of their number and this, and KL (nats a word) at least MIN_KL.
+MIN_COUNT, MIN_G2, MIN_KL = 50, 61.1, 0.002
+#: Weight, in counts, of the suffix's distribution in a context's own.
+PRIOR = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: No token holds a space, so no token is one of these.
-BEGIN, END = " begin", " end"
-#: Characters of text that are counted or scored at once.
-CHARS = 6_000_000
+BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(w)) for w in (b" begin", b" end"))
+#: Characters of text in a slice; words that a task of the counting side gets; occurrences beyond which a context has several tasks.
+CHARS, WORDS, SPREAD = 8_000_000, 2_500_000, 1 << 20
+#: Depths that are settled one by one; blocks of them double after that.
+SINGLE = 4
+REPLY = "slice long, shard int, payload binary, context long, total long, different long, nlogn double, nq double, asked array<long>"
 
 
 def tokens(text: str) -> list[str]:
@@ -29,93 +37,35 @@ def tokens(text: str) -> list[str]:
     return text.replace("\n", " \n ").split(" ") if text else []
 
 
-class Words:
-    """Texts end to end, each from BEGIN to END.  A sequence's hash is sum(x_j BASE^j), so longer ones follow by arithmetic."""
-
-    def __init__(self, texts: list[str], cache: WordHash):
-        flat, n = [], []
-        for t in texts:
-            w = tokens(t)
-            flat.append(BEGIN)
-            flat += w
-            flat.append(END)
-            n.append(len(w) + 2)
-        self.n = np.array(n, np.int64)
-        self.x = hash_words(flat, cache)
-        self.place = np.arange(len(flat)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        power = np.full(len(flat) + 1, BASE, np.uint64)
-        power[0] = 1
-        back = np.full(len(flat) + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
-        back[0] = 1
-        self.back = np.cumprod(back)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.x * np.cumprod(power)[:-1])])
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the different words in order, each token's place among them, tokens of each text) as tokens() has them."""
+    n, some = np.zeros(len(texts), np.int64), np.asarray(pa.compute.fill_null(pa.compute.greater(pa.compute.binary_length(texts), 0), False))
+    lists = pa.compute.split_pattern(pa.compute.replace_substring(texts.filter(pa.array(some)), "\n", " \n "), " ")
+    n[some] = np.asarray(pa.compute.list_value_length(lists))
+    flat = lists.flatten().dictionary_encode()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(flat.dictionary))
+    words, at = np.unique(h, return_inverse=True)
+    return words, at[np.asarray(flat.indices)], n
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    z = zstandard.ZstdCompressor(level=1)
+    return pickle.dumps({k: (a.dtype.str, z.compress(np.ascontiguousarray(a).tobytes())) for k, a in arrays.items()})
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    z = zstandard.ZstdDecompressor()
+    return {k: np.frombuffer(z.decompress(b), t) for k, (t, b) in pickle.loads(data).items()}
 
-    def context(self, i: np.ndarray, d: int) -> np.ndarray:
-        """Hashes of the d tokens before each place."""
-        return (self.sums[i] - self.sums[i - d]) * self.back[i - d]
 
+def small(a: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the smallest type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
-def gram(context: np.ndarray, d, x: np.ndarray) -> np.ndarray:
-    """The hash of a context of d tokens and the next."""
-    return context + np.power(BASE, np.asarray(d, np.uint64)) * x
-
-
-class Table:
-    """key -> value, from a Spark table sorted by key, of which a raw copy is mapped into memory."""
-
-    def __init__(self, path: str):
-        home = worker_store("context_tree")
-        if path not in home:
-            home[path] = self._open(path)
-        self.keys, self.values = home[path]
-
-    @staticmethod
-    def _open(path: str) -> tuple[np.ndarray, np.ndarray]:
-        import fcntl
-
-        at_hand = path.startswith("file:")  # then all executors share one copy beside the table
-        local = "/" + path[5:].lstrip("/") + "-raw" if at_hand else os.path.join(SparkFiles.getRootDirectory(), "tree-" + "-".join(path.rstrip("/").split("/")[-2:]))
-        with open(local + ".lock", "w") as lock:
-            fcntl.flock(lock, fcntl.LOCK_EX)
-            if not os.path.exists(local + ".done"):
-                fs, at = (pa.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if at_hand else pa.fs.FileSystem.from_uri(path)
-                files = sorted(f.path for f in fs.get_file_info(pa.fs.FileSelector(at)) if f.path.endswith(".parquet"))
-                with open(local + ".keys", "wb") as k, open(local + ".values", "wb") as v:
-                    for f in files:
-                        with fs.open_input_file(f) as source:
-                            for b in pq.ParquetFile(source).iter_batches():
-                                k.write(np.ascontiguousarray(b.column(0), np.int64).tobytes())
-                                v.write(np.ascontiguousarray(b.column(1), np.float32).tobytes())
-                open(local + ".done", "w").close()
-        if not os.path.getsize(local + ".keys"):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        return np.memmap(local + ".keys", np.int64, "r"), np.memmap(local + ".values", np.float32, "r")
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values, NaN where there is none."""
-        out = np.full(len(keys), np.nan, np.float32)
-        if not len(self.keys) or not len(keys):
-            return out
-        some, at = np.unique(keys.view(np.int64), return_inverse=True)  # in order, each page is met once
-        i = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-        return np.where(self.keys[i] == some, self.values[i], np.nan).astype(np.float32)[at]
-
-
-@dataclass
-class Tree:
-    """Sorted Spark tables.  words: word -> log P.  branches: contexts that may have longer ones.  kept: context -> log of
-    what it leaves to words that never followed.  entries: context and next word -> log P."""
-
-    unknown: float
-    words: str = ""
-    branches: list[str] = field(default_factory=list)
-    kept: list[str] = field(default_factory=list)
-    entries: list[str] = field(default_factory=list)
-    blocks: list[tuple[int, int]] = field(default_factory=list)
-    scratch: Scratch | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"scratch": None}
+
+def gram(context: np.ndarray, d: int, x: np.ndarray) -> np.ndarray:
+    """The hash of a context of d words and the next."""
+    return context + np.uint64(pow(int(BASE), d, 1 << 64)) * x
 
 
 def critical(df: np.ndarray) -> np.ndarray:
@@ -123,182 +73,382 @@ def critical(df: np.ndarray) -> np.ndarray:
     return np.maximum(MIN_G2, df * (1 - 2 / (9 * df) + 3.0902 * np.sqrt(2 / (9 * df))) ** 3)
 
 
-def sequence_counts(docs: DataFrame, d0: int, d1: int, branches: str | None, frequent: str | None) -> DataFrame:
-    """(d, context, suffix, root, next, n) for depths d0 < d <= d1, wherever the context of d0, its root, branches.
+def diverges(total: Column, different: Column, nlogn: Column, nq: Column) -> Column:
+    """keep() of sums over next words: n, 1, n ln n, and n ln q."""
+    g2 = 2 * (nlogn - total * F.log(total) - nq)
+    df = F.greatest(different - 1, F.lit(1)).cast("double")
+    chi = F.greatest(F.lit(MIN_G2), df * F.pow(1 - 2 / (9 * df) + 3.0902 * F.sqrt(2 / (9 * df)), F.lit(3)))
+    return (total >= MIN_COUNT) & (g2 >= chi) & (g2 >= 2 * total * MIN_KL)
 
-    A place whose context is known to be rare, from `frequent`, is left out: MIN_COUNT would rule it out.
-    """
 
-    def count(batches):
-        cache = WordHash()
-        for _, texts in chunks(batches, 0, CHARS):
-            w = Words([t for t in texts if t is not None], cache)
-            i = np.flatnonzero(w.place > d0)
-            root = w.context(i, d0)
-            if branches:
-                ok = ~np.isnan(Table(branches).get(root))
-                i, root = i[ok], root[ok]
-            if frequent:
-                ok = ~np.isnan(Table(frequent).get(w.context(i, d0 + 1)))
-                i, root = i[ok], root[ok]
-            suffix = root
-            for d in range(d0 + 1, d1 + 1):
-                ok = w.place[i] >= d
-                i, root, suffix = i[ok], root[ok], suffix[ok]
-                if not len(i):
-                    break
-                c, x = w.context(i, d), w.x[i]
-                _, at, n = np.unique(gram(c, d, x), return_index=True, return_counts=True)
-                for a in range(0, len(at), 200_000):
-                    p = at[a : a + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), d, np.int32)), *[pa.array(y[p].view(np.int64)) for y in (c, suffix, root, x)], pa.array(n[a : a + 200_000].astype(np.int32))], names=["d", "context", "suffix", "root", "next", "n"])
-                suffix = c
-
-    return docs.select(F.col("text")).mapInArrow(count, "d int, context long, suffix long, root long, next long, n int")
-
-
-def settle(counts: DataFrame, d0: int, d1: int, before: str) -> DataFrame:
-    """(d, context, entry, p, n, total, several, kept) of all contexts that occur MIN_COUNT times.
-
-    p is the next word's P by the longest kept suffix of the context, or itself.  A partition has whole roots (or, at depth 1,
-    whole contexts), so that each depth finds the one before here, and the first in the table `before`.
-    """
+class Slice:
+    """Texts end to end, each from BEGIN to END, and how far their words are scored.
 
-    def run(batches):
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
-            return
-        t = pa.Table.from_batches(batches)
-        depth, n_all = np.asarray(t["d"]), np.asarray(t["n"]).astype(np.int64)
-        cs, ss, xs = (np.asarray(t[c]).view(np.uint64) for c in ("context", "suffix", "next"))
-        keys = logs = None
-        for d in range(d0 + 1, d1 + 1):
-            m = np.flatnonzero(depth == d)
-            e, at, inv = np.unique(gram(cs[m], d, xs[m]), return_index=True, return_inverse=True)
-            n = np.bincount(inv, n_all[m], len(e))
-            m = m[at]
-            c, s, x = cs[m], ss[m], xs[m]
-            _, ctx = np.unique(c, return_inverse=True)
-            total, different = np.bincount(ctx, n), np.bincount(ctx)
-            ok = total[ctx] >= MIN_COUNT
-            if not ok.any():
-                return
-            e, c, s, x, n, ctx = e[ok], c[ok], s[ok], x[ok], n[ok], ctx[ok]
-            parent = gram(s, d - 1, x)
-            q = Table(before).get(parent).astype(float) if keys is None else logs[np.searchsorted(keys, parent)]
-            assert not np.isnan(q).any()
-            g2 = 2 * np.bincount(ctx, n * (np.log(n / total[ctx]) - q), len(total))
-            kept = (g2 >= critical(np.maximum(different - 1, 1))) & (g2 >= 2 * total * MIN_KL)
-            own = np.log((n + PRIOR * np.exp(q)) / (total[ctx] + PRIOR))
-            keys, logs = e, np.where(kept[ctx], own, q)
-            for a in range(0, len(e), 200_000):
-                p = slice(a, a + 200_000)
-                k = ctx[p]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), d, np.int32)), pa.array(c[p].view(np.int64)), pa.array(e[p].view(np.int64)), pa.array(logs[p].astype(np.float32)), pa.array(n[p].astype(np.int64)), pa.array(total[k].astype(np.int64)), pa.array(different[k] > 1), pa.array(kept[k])], names=["d", "context", "entry", "p", "n", "total", "several", "kept"])
-
-    return counts.repartition("context" if d0 == 0 else "root").mapInArrow(run, "d int, context long, entry long, p float, n long, total long, several boolean, kept boolean")
-
-
-def train(docs: DataFrame, *, text: str = "text") -> Tree:
-    """The tree of all texts whole; words and depth have no bound.
-
-    A context is kept if it occurs MIN_COUNT times and its next words diverge from those of its longest kept suffix by the
-    test of suffix_tree, with a degree of freedom less than it has different next words.  Contexts grow in blocks of depths
-    that double, until none branches.  That loses none: every longer context of one that doesn't branch has the same next
-    word and is no more frequent, so it fails the test as that does, or, where that was kept, has a G2 under 2 PRIOR.
+    `live` are the places whose contexts may still grow, with `q`, ln P by the longest kept suffix so far, and `k`, how many
+    tasks share their next context; `rare` are those whose context fell below MIN_COUNT; `done` is each text's ln P of all
+    others.  A context's hash is sum(x_j BASE^j), so that longer ones follow by arithmetic.
     """
-    spark = docs.sparkSession
-    docs, scratch = docs.select(F.col(text).alias("text")).where("text is not null"), Scratch(spark, "tree")
 
-    def table(df: DataFrame) -> str:
-        path = scratch.save(df.orderBy("key"))._scratch_path
-        tidy()
-        return path
+    def __init__(self, n: np.ndarray, words: np.ndarray, x: np.ndarray):
+        self.n, self.words, self.x = np.asarray(n, np.int64), words, x
+        self.first = np.cumsum(self.n) - self.n
+        size = len(x)
+        self.text = np.repeat(np.arange(len(self.n)), self.n)
+        self.place = np.arange(size) - self.first[self.text]
+        power, back = np.full(size + 1, BASE, np.uint64), np.full(size + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
+        power[0] = back[0] = 1
+        self.back = np.cumprod(back)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words[x] * np.cumprod(power)[:-1])]) if size else np.zeros(1, np.uint64)
 
-    def tidy():
-        gc.collect()  # else the shuffle files of all steps pile up
-        spark._jvm.System.gc()
+    def context(self, i: np.ndarray, d: int) -> np.ndarray:
+        """Hashes of the d words before each place."""
+        return (self.sums[i] - self.sums[i - d]) * self.back[i - d]
 
-    def words(batches):
-        cache = WordHash()
-        for _, texts in chunks(batches, 0, CHARS):
-            w = Words(texts, cache)
-            x, n = np.unique(w.x[w.place > 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-    unigrams = scratch.save(docs.mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    size, total = unigrams.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    norm = total + 0.5 * (size + 1)  # one more for what was never seen
-    tree = Tree(float(np.log(0.5 / norm)), scratch=scratch)
-    tree.words = before = table(unigrams.select("key", F.log((F.col("n") + 0.5) / norm).cast("float").alias("value")))
-    # BEGIN is a context that is as frequent as texts are, though never a next word
-    begin = spark.createDataFrame([(int(hash_words([BEGIN], WordHash()).view(np.int64)[0]),)], "key long")
-    frequent = table(unigrams.where(F.col("n") >= MIN_COUNT).select("key").unionByName(begin).select("key", F.lit(1.0).cast("float").alias("value")))
-    d0, d1, branches = 0, 1, None
-    while True:
-        done = scratch.save(settle(sequence_counts(docs, d0, d1, branches, frequent), d0, d1, before))
-        tidy()
-        contexts = done.select("d", F.col("context").alias("key"), "total", "several", "kept").distinct()
-        one = F.lit(1.0).cast("float").alias("value")
-        tree.blocks.append((d0, d1))
-        tree.kept.append(table(contexts.where("kept").select("key", F.log(PRIOR / (F.col("total") + PRIOR)).cast("float").alias("value"))))
-        # those of contexts that branch but aren't kept are for the next block
-        tree.entries.append(before := table(done.where("kept or several").select(F.col("entry").alias("key"), F.col("p").alias("value"))))
-        growing = contexts.where("several")
-        tree.branches.append(table(growing.select("key", one)))
-        if not growing.where(F.col("d") == d1).limit(1).count():
-            return tree
-        branches = table(growing.where(F.col("d") == d1).select("key", one))
-        # all pairs of words were counted where the first is frequent, except at a text's begin
-        frequent = table(done.where(F.col("n") >= MIN_COUNT).select(F.col("entry").alias("key"), one)) if d0 == 0 else None
-        scratch.drop(done)
-        d0, d1 = d1, max(2 * d1, 2) if d1 > 1 else 2
-
-
-def log_probs(w: Words, tree: Tree) -> np.ndarray:
-    """ln P of the token at each place; 0 for BEGIN."""
-    i = np.flatnonzero(w.place > 0)
-    out = np.zeros(len(w.x))
-    base = Table(tree.words).get(w.x[i])
-    out[i] = np.where(np.isnan(base), tree.unknown, base)
-    for (d0, d1), branches, kept, entries in zip(tree.blocks, tree.branches, tree.kept, tree.entries):
+    @classmethod
+    def of(cls, texts: pa.Array) -> Slice:
+        words, at, n = hashed(texts)
+        words, where = np.unique(np.concatenate([words, np.array([BEGIN, END], np.uint64)]), return_inverse=True)
+        has = np.asarray(texts.is_valid())
+        n = np.where(has, n + 2, 0)
+        first = (np.cumsum(n) - n)[has]
+        x, inner = np.zeros(n.sum(), np.int32), np.ones(n.sum(), bool)
+        x[first], x[first + n[has] - 1] = where[-2], where[-1]
+        inner[first] = inner[first + n[has] - 1] = False
+        x[inner] = where[at]
+        return cls(n, words, x)
+
+    @classmethod
+    def load(cls, n, state: bytes, spread: int = SPREAD) -> Slice:
+        a = unpack(state)
+        s = cls(n, a["words"], a["x"])
+        if "counts" in a:
+            s.begin(a["counts"], float(a["norm"][0]), spread)
+        elif "live" in a:
+            s.live, s.q, s.k, s.done = np.cumsum(a["live"]), a["q"].astype(float), a["k"].astype(np.int64), a["done"]
+            s.rare = np.unpackbits(a["rare"], count=len(s.x)).astype(bool)
+        return s
+
+    def save(self) -> bytes:
+        return pack(words=self.words, x=small(self.x), live=small(np.diff(self.live, prepend=0)), q=self.q.astype(np.float32), k=small(self.k), done=self.done, rare=np.packbits(self.rare))
+
+    def begin(self, counts: np.ndarray, norm: float, spread: int) -> None:
+        """From the counts of `words` in the corpus: depth 0 is scored, and words that are frequent are contexts."""
+        counts = counts.astype(np.int64)
+        q = np.log((counts + 0.5) / norm)[self.x]
+        before = np.concatenate([np.zeros(1, np.int64), counts[self.x][:-1]]) if len(self.x) else np.zeros(0, np.int64)
+        scored = self.place > 0
+        self.live = np.flatnonzero(scored & (before >= MIN_COUNT))
+        self.rare = scored & (before < MIN_COUNT)
+        self.q, self.k = q[self.live], 1 + before[self.live] // spread
+        self.done = np.bincount(self.text[self.rare], q[self.rare], len(self.n)).astype(float)
+
+    def requests(self, d0: int, d1: int, shards: int) -> tuple[list[dict], list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """What to ask for the depths d0 < d <= d1: (a message for each shard, [(which of `live`, row)] for each depth, rows by shard).
+
+        All contexts that extend one of depth d0 + 1 go to one shard, unless that is shared by several.
+        """
+        piece = mix(self.words[self.x[self.live]]) % self.k.astype(np.uint64) if d1 == d0 + 1 else np.zeros(len(self.live), np.uint64)
+        home = (mix(self.context(self.live, d0 + 1) + piece * BASE) % np.uint64(shards)).astype(np.int64)
+        depths, columns, at = [], [], 0
         for d in range(d0 + 1, d1 + 1):
-            i = i[w.place[i] >= d]
-            if not len(i):
-                return out
-            c = w.context(i, d)
-            left = Table(kept).get(c)
-            k = np.flatnonzero(~np.isnan(left))
-            own = Table(entries).get(gram(c[k], d, w.x[i[k]]))
-            out[i[k]] = np.where(np.isnan(own), left[k] + out[i[k]], own)
-            i = i[~np.isnan(Table(branches).get(c))]
-    return out
-
-
-def score(docs: DataFrame, tree: Tree, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_symbols, log_prob, perplexity), one row for each row of `docs`.
+            j = np.flatnonzero(self.place[self.live] >= d)
+            i = self.live[j]
+            c = self.context(i, d)
+            key = home[j] * len(self.words) + self.x[i]
+            order = np.lexsort((c, key))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(key[order]) != 0) | (np.diff(c[order]) != 0)
+            row = np.empty(len(order), np.int64)
+            row[order] = np.cumsum(new) - 1 + at
+            starts = np.flatnonzero(new)
+            f = order[starts]
+            n = np.diff(starts, append=len(order))
+            columns.append((home[j][f], np.full(len(f), d), c[f], self.context(i[f], d - 1) if d > d0 + 1 else np.zeros(0, np.uint64), self.x[i[f]], n, self.q[j[f]], self.k[j[f]] if d1 == d0 + 1 else np.ones(len(f), np.int64)))
+            depths.append((j, row))
+            at += len(f)
+        shard = np.concatenate([x[0] for x in columns])
+        by_shard = np.argsort(shard, kind="stable")
+        d, c, x, n, q, k = (np.concatenate([y[z] for y in columns])[by_shard] for z in (1, 2, 4, 5, 6, 7))
+        suffix = np.concatenate([np.zeros(len(columns[0][0]), np.uint64), *[y[3] for y in columns[1:]]])[by_shard]
+        cuts = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+        asked = []
+        for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                contexts, first, ci = np.unique(c[a:b], return_index=True, return_inverse=True)
+                xs, xi = np.unique(x[a:b], return_inverse=True)
+                parts = {"context": contexts, "ci": small(ci), "word": self.words[xs], "xi": small(xi), "n": small(n[a:b]), "k": small(k[a:b][first])}
+                if d1 > d0 + 1:
+                    suffixes, si = np.unique(suffix[a:b], return_inverse=True)
+                    parts |= {"suffix": suffixes, "si": small(si), "d": small(d[a:b])}
+                asked.append({"shard": s} | parts | {"q": q[a:b][d[a:b] == d0 + 1].astype(np.float32)})
+        return asked, depths, by_shard
+
+    def apply(self, d0: int, d1: int, shards: int, replies: dict[int, bytes], shared: list, spread: int) -> None:
+        """Scores the depths d0 < d <= d1 by the replies to requests(), and those about shared contexts."""
+        asked, depths, by_shard = self.requests(d0, d1, shards)
+        n, total, kept, grows = (np.zeros(len(by_shard), t) for t in (np.int64, np.int64, bool, bool))
+        at = 0
+        for r in asked:
+            a = unpack(replies[r["shard"]])
+            rows, ci = by_shard[at : at + len(r["ci"])], r["ci"]
+            t, flag = a["total"].astype(np.int64), a["flag"].copy()
+            if (flag & 4).any():  # decided elsewhere
+                known = {x["context"]: x for x in shared}
+                for c in np.flatnonzero(flag & 4):
+                    found = known[int(r["context"].view(np.int64)[c])]
+                    t[c], flag[c] = found["total"], 2 | found["kept"]
+            n[rows], total[rows], kept[rows], grows[rows] = a["n"], t[ci], flag[ci] & 1 > 0, flag[ci] & 2 > 0
+            at += len(rows)
+        open_ = np.ones(len(self.live), bool)
+        for d, (j, row) in zip(range(d0 + 1, d1 + 1), depths):
+            if d > d0 + 1:
+                still = open_[j]
+                open_[:] = False
+                j, row = j[still], row[still]
+                open_[j] = True
+            i, m = self.live[j], n[row]
+            self.q[j] = np.where(kept[row], np.log((m + PRIOR * np.exp(self.q[j])) / (total[row] + PRIOR)), self.q[j])
+            # the context of one word more is what the place before asked for, if it did
+            near = np.zeros(len(i), bool)
+            near[1:] = np.diff(i) == 1
+            before = np.concatenate([np.zeros(1, np.int64), m[:-1]]) if len(m) else m
+            seldom = near & (before < MIN_COUNT) | self.rare[i - 1]
+            self.rare[i[seldom | (total[row] < MIN_COUNT)]] = True
+            open_[:] = False
+            open_[j[grows[row] & ~seldom & (self.place[i] > d)]] = True
+            self.k[j] = np.where(near, 1 + before // spread, self.k[j])
+        shut = ~open_
+        self.done = self.done + np.bincount(self.text[self.live[shut]], self.q[shut], len(self.n))
+        self.live, self.q, self.k = self.live[open_], self.q[open_], self.k[open_]
+
+
+def batch(schema: list[str], **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[c] for c in schema], names=schema)
+
+
+def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int) -> Iterator[pa.RecordBatch]:
+    """Replies to all messages of a shard: each row's count in the corpus; each context's total, and flags: 1 kept, 2 may grow, 4 shared.
+
+    A longer context's G2 is at most 2 sum(n (-ln q)) over this one's next words, q being what they have here.  Where that is
+    below MIN_G2 no longer context can be kept, so none is looked at; that loses nothing.
+    """
+    asked = [(s, h, unpack(p)) for b in batches for s, h, p in zip(*[b.column(c).to_pylist() for c in ("slice", "shard", "payload")])]
+    if not asked:
+        return
+    parts = [a for _, _, a in asked]
+    join = lambda f: np.concatenate([f(a) for a in parts])
+    ends = np.cumsum([len(a["ci"]) for a in parts])
+    c, x, n_all = join(lambda a: a["context"][a["ci"]]), join(lambda a: a["word"][a["xi"]]), join(lambda a: a["n"].astype(np.int64))
+    depth = join(lambda a: a["d"]) if d1 > d0 + 1 else np.full(len(c), d1)
+    suffix = join(lambda a: a["suffix"][a["si"]]) if d1 > d0 + 1 else None
+    q_all = np.full(len(c), np.nan)
+    q_all[depth == d0 + 1] = join(lambda a: a["q"])
+    counts, names, totals, flags, sums = np.zeros(len(c), np.int64), [], [], [], []
+    many = join(lambda a: a["context"][a["k"] > 1])
+    keys = logs = None
+    for d in range(d0 + 1, d1 + 1):
+        m = np.flatnonzero(depth == d)
+        g, at, inv = np.unique(gram(c[m], d, x[m]), return_index=True, return_inverse=True)
+        n = np.bincount(inv, n_all[m], len(g)).astype(np.int64)
+        counts[m] = n[inv]
+        m = m[at]
+        some, ctx = np.unique(c[m], return_inverse=True)
+        total, different = np.bincount(ctx, n, len(some)), np.bincount(ctx, n > 0, len(some))
+        q = q_all[m]
+        if keys is not None:
+            parent = gram(suffix[m], d - 1, x[m])
+            q = logs[np.searchsorted(keys, parent)]
+        log_n = np.log(np.maximum(n, 1))
+        nlogn, nq = np.bincount(ctx, n * log_n, len(some)), np.bincount(ctx, n * q, len(some))
+        g2 = 2 * (nlogn - total * np.log(np.maximum(total, 1)) - nq)
+        kept = (total >= MIN_COUNT) & (g2 >= critical(np.maximum(different - 1, 1))) & (g2 >= 2 * total * MIN_KL)
+        keys, logs = g, np.where(kept[ctx], np.log((n + PRIOR * np.exp(q)) / (total[ctx] + PRIOR)), q)
+        grows = (total >= MIN_COUNT) & (2 * np.bincount(ctx, -n * logs, len(some)) >= MIN_G2)
+        shared = np.isin(some, many)
+        names.append(some)
+        totals.append(total.astype(np.int64))
+        flags.append(np.where(shared, 4, kept | grows * 2).astype(np.uint8))
+        sums.append((some[shared], total[shared], different[shared], nlogn[shared], nq[shared]))
+    order = np.argsort(name := np.concatenate(names))
+    name, total, flag = name[order], np.concatenate(totals)[order], np.concatenate(flags)[order]
+    schema = [x.split()[0] for x in REPLY.split(", ")]
+    nothing = {f: pa.nulls(1, t) for f, t in (("context", pa.int64()), ("total", pa.int64()), ("different", pa.int64()), ("nlogn", pa.float64()), ("nq", pa.float64()), ("asked", pa.list_(pa.int64())))}
+    for (s, h, a), end in zip(asked, ends):
+        where = np.searchsorted(name, a["context"])
+        reply = pack(n=small(counts[end - len(a["ci"]) : end]), total=small(total[where]), flag=flag[where])
+        yield batch(schema, slice=pa.array([s]), shard=pa.array([h], pa.int32()), payload=pa.array([reply], pa.binary()), **nothing)
+    for i, found in enumerate(zip(*[np.concatenate(y) for y in zip(*sums)])):
+        context, total_, different_, nlogn_, nq_ = found
+        who = [s for s, _, a in asked if (a["context"] == context).any()]
+        yield batch(schema, slice=pa.nulls(1, pa.int64()), shard=pa.nulls(1, pa.int32()), payload=pa.nulls(1, pa.binary()), context=pa.array([int(context.view(np.int64))]), total=pa.array([int(total_)]), different=pa.array([int(different_)]), nlogn=pa.array([float(nlogn_)]), nq=pa.array([float(nq_)]), asked=pa.array([who], pa.list_(pa.int64())))
+
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Depth 0: replies with the corpus's counts of words, and a row with their number and sum."""
+    asked = [(s, h, unpack(p)) for b in batches for s, h, p in zip(*[b.column(c).to_pylist() for c in ("slice", "shard", "payload")])]
+    if not asked:
+        return
+    words, inv = np.unique(np.concatenate([a["word"] for _, _, a in asked]), return_inverse=True)
+    n = np.bincount(inv, np.concatenate([a["n"].astype(np.int64) for _, _, a in asked])).astype(np.int64)
+    schema = [x.split()[0] for x in REPLY.split(", ")]
+    rest = {"context": pa.nulls(1, pa.int64()), "nlogn": pa.nulls(1, pa.float64()), "nq": pa.nulls(1, pa.float64()), "asked": pa.nulls(1, pa.list_(pa.int64()))}
+    at = 0
+    for s, h, a in asked:
+        reply = pack(n=small(n[inv[at : at + len(a["word"])]]))
+        at += len(a["word"])
+        yield batch(schema, slice=pa.array([s]), shard=pa.array([h], pa.int32()), payload=pa.array([reply], pa.binary()), total=pa.nulls(1, pa.int64()), different=pa.nulls(1, pa.int64()), **rest)
+    ok = (words != BEGIN) & (n > 0)
+    yield batch(schema, slice=pa.nulls(1, pa.int64()), shard=pa.nulls(1, pa.int32()), payload=pa.nulls(1, pa.binary()), total=pa.array([int(n[ok].sum())]), different=pa.array([int(ok.sum())]), **rest)
+
+
+def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", chars: int = CHARS, spread: int = SPREAD) -> DataFrame:
+    """(doc_id, n_symbols, log_prob, perplexity), one row for each row of `docs`, under the tree of all texts of `train_on` (default: `docs`).
+
+    Words, depth and the number of contexts have no bound: a context is kept if it occurs MIN_COUNT times and its next words
+    diverge from those of its longest kept suffix, by a test with a degree of freedom less than it has different next words.
+    Its P(next) = (n + PRIOR q) / (N + PRIOR), q being the suffix's; at depth 0, (n + 0.5) / (sum + 0.5 (words + 1)).
 
     log_prob is the sum of ln P(token | longest kept suffix before it), the text's end included, so an empty text has one
-    symbol; perplexity is exp(-log_prob / n_symbols).  Null texts have nulls.  Repeated rows score alike.
+    symbol; perplexity is exp(-log_prob / n_symbols).  Null texts have nulls.  Repeated rows count each, and score alike.
+    Ids may be null or repeated, other columns are ignored.  An empty table gives no rows; with an empty `train_on` all words
+    are unknown.
+
+    The tree is never in one place.  Texts are cut into slices; for each depth (or block of depths, beyond SINGLE) slices send
+    what follows what in them to the shards of a hash of the context, shards count, test and smooth, and answer the slices that
+    asked.  So memory is that of a slice or shard, at any size of corpus.  A context that occurs over `spread` times is shared by
+    several shards, and their sums decide.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches):
-        cache = WordHash()
-        for part, texts in chunks(batches, 1, CHARS):
-            some = [i for i, t in enumerate(texts) if t is not None]
-            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            if some:
-                w = Words([texts[i] for i in some], cache)
-                n[some] = w.n - 1
-                total[some] = np.add.reduceat(log_probs(w, sent.value), np.cumsum(w.n) - w.n)
-            missing = n == 0
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, mask=missing), pa.array(total, mask=missing), pa.array(np.exp(-total / np.maximum(n, 1)), mask=missing)], names=["doc_id", "n_symbols", "log_prob", "perplexity"])
+    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
+    scratch, columns = Scratch(spark, "tree"), f"slice long, ids array<{kind}>, n array<long>, counted boolean, out boolean, live long, state binary"
+    names = [c.split()[0] for c in columns.split(", ")]
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_symbols long, log_prob double, perplexity double")
+    def tidy() -> None:
+        gc.collect()  # else the shuffle files of all steps pile up
+        spark._jvm.System.gc()
 
+    def tokenise(batches):
+        task, seq = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for part in cut(b, 1, chars):
+                s = Slice.of(part.column(1))
+                one = lambda a, t: pa.array([a], t)
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield batch(names, slice=one(task << 24 | seq, pa.int64()), ids=ids, n=one(s.n, pa.list_(pa.int64())), counted=part.column(2).slice(0, 1), out=part.column(3).slice(0, 1), live=one(len(s.x), pa.int64()), state=one(pack(words=s.words, x=small(s.x)), pa.binary()))
+                seq += 1
+
+    used = lambda d, counted, out: d.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.lit(counted).alias("counted"), F.lit(out).alias("out"))
+    if train_on is None:
+        state = scratch.save(used(docs, True, True).mapInArrow(tokenise, columns))
+    else:
+        # ids of the other table are of no use here
+        other = used(train_on.withColumn(doc_id, F.lit(None).cast(kind)), True, False)
+        state = scratch.save(used(docs, False, True).mapInArrow(tokenise, columns).unionByName(other.mapInArrow(tokenise, columns).withColumn("slice", -1 - F.col("slice"))))
+    slices, size = state.agg(F.count("*"), F.coalesce(F.sum("live"), F.lit(0))).first()
+    shards, parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / WORDS)), max(1, math.ceil(slices / 2))
+
+    def exchange(ask, answer) -> DataFrame:
+        out = state.mapInArrow(ask, "slice long, shard int, payload binary").repartitionById(shards, F.col("shard")).mapInArrow(answer, REPLY)
+        saved = scratch.save(out)
+        tidy()
+        return saved
+
+    def rows(batches):
+        for b in batches:
+            yield from b.to_pylist()
+
+    def message(slice_: int, shard: int, payload: bytes) -> pa.RecordBatch:
+        return batch(["slice", "shard", "payload"], slice=pa.array([slice_]), shard=pa.array([shard], pa.int32()), payload=pa.array([payload], pa.binary()))
+
+    def replied(replies: DataFrame, shared: DataFrame | None, apply) -> DataFrame:
+        """Slices after `apply` to each and what it was sent, (shard, payload) and what was decided on shared contexts."""
+        known = "array<struct<context:bigint,total:bigint,kept:int>>"
+        blank = lambda df, *missing: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in missing])
+        fields = [(c, state.schema[c].dataType) for c in names] + [("shard", "int"), ("payload", "binary"), ("known", known)]
+        all_ = blank(state, *fields).unionByName(blank(replies.where("slice is not null").select("slice", "shard", "payload"), *fields))
+        if shared is not None:
+            all_ = all_.unionByName(blank(shared, *fields))
+
+        def run(batches):
+            of: dict[int, list] = {}
+            for r in rows(batches):
+                mine = of.setdefault(r["slice"], [None, {}, []])
+                if r["state"] is not None:
+                    mine[0] = r
+                elif r["payload"] is not None:
+                    mine[1][r["shard"]] = r["payload"]
+                else:
+                    mine[2] = r["known"]
+            while of:
+                _, (r, payloads, known_) = of.popitem()
+                r["state"], r["live"] = apply(r, payloads, known_)
+                yield pa.RecordBatch.from_pylist([{c: r[c] for c in names}], schema=to_arrow)
+
+        to_arrow = pa.schema([("slice", pa.int64()), ("ids", arrow_ids), ("n", pa.list_(pa.int64())), ("counted", pa.bool_()), ("out", pa.bool_()), ("live", pa.int64()), ("state", pa.binary())])
+        saved = scratch.save(all_.repartition(parts, "slice").mapInArrow(run, columns))
+        scratch.drop(state, replies)
+        tidy()
+        return saved
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow_ids = pa.list_(to_arrow_type(docs.schema[doc_id].dataType))
+    home = lambda words: (mix(words) % np.uint64(shards)).astype(np.int64)
+
+    def ask_words(batches):
+        for r in rows(batches):
+            s = Slice.load(r["n"], r["state"])
+            n = np.bincount(s.x, (s.place > 0) | (s.words[s.x] == BEGIN), len(s.words)).astype(np.int64) * r["counted"]
+            shard = home(s.words)
+            for h in np.unique(shard):
+                yield message(r["slice"], int(h), pack(word=s.words[shard == h], n=small(n[shard == h])))
+
+    counted = exchange(ask_words, tally)
+    different, total = counted.where("slice is null").agg(F.coalesce(F.sum("different"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    norm = total + 0.5 * (different + 1)  # one more for what was never seen
+
+    def begin(r, payloads, _):
+        s = Slice.load(r["n"], r["state"])
+        counts, shard = np.zeros(len(s.words), np.int64), home(s.words)
+        for h, p in payloads.items():
+            counts[shard == h] = unpack(p)["n"]
+        s.begin(counts, norm, spread)
+        return pack(words=s.words, x=small(s.x), counts=small(counts), norm=np.array([norm])), len(s.live)
+
+    state = replied(counted, None, begin)
+    d0, d1 = 0, 1
+    while state.agg(F.sum("live")).first()[0]:
+
+        def ask(batches, d0=d0, d1=d1):
+            for r in rows(batches):
+                if r["live"]:
+                    for a in Slice.load(r["n"], r["state"], spread).requests(d0, d1, shards)[0]:
+                        h = a.pop("shard")
+                        if not r["counted"]:
+                            a["n"] = np.zeros_like(a["n"])
+                        yield message(r["slice"], h, pack(**a))
+
+        def apply(r, payloads, known, d0=d0, d1=d1):
+            s = Slice.load(r["n"], r["state"], spread)
+            if r["live"]:
+                s.apply(d0, d1, shards, payloads, known, spread)
+            return s.save(), len(s.live)
+
+        replies = exchange(ask, lambda batches, d0=d0, d1=d1: settle(batches, d0, d1))
+        shared = replies.where("slice is null")
+        decided = None
+        if shared.limit(1).count():
+            sums = shared.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("total", "different", "nlogn", "nq")])
+            sums = sums.select("context", "total", diverges(*[F.col(c) for c in ("total", "different", "nlogn", "nq")]).cast("int").alias("kept"))
+            asking = shared.select("context", F.explode("asked").alias("slice")).distinct()
+            decided = asking.join(sums, "context").groupBy("slice").agg(F.collect_list(F.struct("context", "total", "kept")).alias("known"))
+        state = replied(replies, decided, apply)
+        d0, d1 = d1, d1 + 1 if d1 < SINGLE else 2 * d1
+
+    def scores(batches):
+        for r in rows(batches):
+            s = Slice.load(r["n"], r["state"])
+            n, total = np.maximum(s.n - 1, 0), s.done
+            missing = n == 0
+            yield pa.RecordBatch.from_arrays([pa.array(r["ids"], arrow_ids.value_type), pa.array(n, mask=missing), pa.array(total, mask=missing), pa.array(np.exp(-total / np.maximum(n, 1)), mask=missing)], names=["doc_id", "n_symbols", "log_prob", "perplexity"])
 
-def score_corpus(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every text's score under the tree that all texts together give."""
-    return score(docs, train(docs, text=text), doc_id=doc_id, text=text)
+    return state.where("out").mapInArrow(scores, f"doc_id {kind}, n_symbols long, log_prob double, perplexity double")

@@ -587,11 +587,26 @@ def test_words_tree_against_counting(spark):
             want, deepest = want + math.log(p[s[j]]), max(deepest, d)
         assert got[i]["n_symbols"] == len(s) - 1 and got[i]["log_prob"] == pytest.approx(want, rel=1e-4)
     assert deepest >= 10 and got[len(texts)]["log_prob"] is None
+    # many slices, and contexts that several shards share, change nothing
+    cut = {r["doc_id"]: r for r in context_tree.score_corpus(df, chars=3000, spread=40).collect()}
+    assert cut.keys() == got.keys() and all(cut[i]["log_prob"] == pytest.approx(got[i]["log_prob"], rel=1e-4) for i in range(len(texts)))
     for empty in (True, False):
         d = awkward(spark, empty)
         assert context_tree.score_corpus(d).count() == d.count()
 
 
+def test_words_tree_scores_other_texts(spark):
+    rng = random.Random(2)
+    line = lambda: " ".join(rng.choice(["sun rises early", "rain falls often", "wind turns cold"]) for _ in range(30))
+    corpus = spark.createDataFrame([(i, line()) for i in range(100)], "doc_id long, text string")
+    other = spark.createDataFrame([(1, line()), (1, "early cold falls rises sun often " * 15), (None, "never seen"), (2, None)], "doc_id long, text string")
+    got = context_tree.score_corpus(other, train_on=corpus).collect()
+    like, shuffled = sorted(r["perplexity"] for r in got if r["doc_id"] == 1)
+    assert len(got) == 4 and like < 3 < 10 < shuffled
+    empty = context_tree.score_corpus(other, train_on=corpus.limit(0)).collect()
+    assert len(empty) == 4 and sum(r["log_prob"] is None for r in empty) == 1
+
+
 # -- 9, calibration
 
 
