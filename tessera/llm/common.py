@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import pickle
 import sys
 import types
 import uuid
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +114,38 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 4_000_0
             yield part, part.column(text_at).to_pylist()
 
 
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(different words, each token's place among them, tokens of each text) as str.split() has them; a null has none."""
+    lists = pa.compute.utf8_split_whitespace(pa.compute.fill_null(texts, ""))
+    ends, flat = np.asarray(lists.offsets), lists.flatten()
+    real = np.asarray(pa.compute.binary_length(flat)) > 0
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(real)])
+    flat = flat.filter(pa.array(real)).dictionary_encode()
+    return flat.dictionary.cast(pa.binary()).to_pylist(), np.asarray(flat.indices), np.diff(before[ends - ends[0]])
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    z = zstandard.ZstdCompressor(level=1)
+    return pickle.dumps({k: (a.dtype.str, z.compress(np.ascontiguousarray(a).tobytes())) for k, a in arrays.items()})
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    z = zstandard.ZstdDecompressor()
+    return {k: np.frombuffer(z.decompress(b), t) for k, (t, b) in pickle.loads(data).items()}
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the smallest type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is written; else those of all steps pile up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, mix
+from .common import Scratch, cut, mix, pack, small, tidy, unpack
 
 #: A context is kept if it occurs this often and its next words diverge from those of its longest kept suffix: G2 = 2 N KL
 #: at least critical() of their number and this, and KL (nats a word) at least MIN_KL.
@@ -26,8 +23,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: No token holds a space, so no token is one of these.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(w)) for w in (b" begin", b" end"))
 #: Characters of text in a slice; words that a task of the counting side gets; occurrences beyond which a context has several tasks.
-CHARS, WORDS, SPREAD = 8_000_000, 2_500_000, 1 << 20
-#: Depths that are settled one by one; blocks of them double after that.
+CHARS, WORDS, SPREAD = 4_000_000, 1_250_000, 1 << 20
+#: Depths that are settled one by one; after that, each block goes four times as deep as the one before.
 SINGLE = 4
 REPLY = "slice long, shard int, payload binary, context long, total long, different long, nlogn double, nq double, asked array<long>"
 
@@ -48,21 +45,6 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, at[np.asarray(flat.indices)], n
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    z = zstandard.ZstdCompressor(level=1)
-    return pickle.dumps({k: (a.dtype.str, z.compress(np.ascontiguousarray(a).tobytes())) for k, a in arrays.items()})
-
-
-def unpack(data: bytes) -> dict[str, np.ndarray]:
-    z = zstandard.ZstdDecompressor()
-    return {k: np.frombuffer(z.decompress(b), t) for k, (t, b) in pickle.loads(data).items()}
-
-
-def small(a: np.ndarray) -> np.ndarray:
-    """Non-negative integers in the smallest type that holds them."""
-    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
-
-
 def gram(context: np.ndarray, d: int, x: np.ndarray) -> np.ndarray:
     """The hash of a context of d words and the next."""
     return context + np.uint64(pow(int(BASE), d, 1 << 64)) * x
@@ -89,8 +71,9 @@ class Slice:
     others.  A context's hash is sum(x_j BASE^j), so that longer ones follow by arithmetic.
     """
 
-    def __init__(self, n: np.ndarray, words: np.ndarray, x: np.ndarray):
+    def __init__(self, n: np.ndarray, words: np.ndarray, x: np.ndarray, which: np.ndarray | None = None):
         self.n, self.words, self.x = np.asarray(n, np.int64), words, x
+        self.which = np.arange(len(self.n)) if which is None else which
         self.first = np.cumsum(self.n) - self.n
         size = len(x)
         self.text = np.repeat(np.arange(len(self.n)), self.n)
@@ -98,14 +81,16 @@ class Slice:
         power, back = np.full(size + 1, BASE, np.uint64), np.full(size + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
         power[0] = back[0] = 1
         self.back = np.cumprod(back)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words[x] * np.cumprod(power)[:-1])]) if size else np.zeros(1, np.uint64)
+        # words are hashes at first and numbers later; the numbers are spread again
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.astype(np.uint64))[x] * np.cumprod(power)[:-1])]) if size else np.zeros(1, np.uint64)
 
     def context(self, i: np.ndarray, d: int) -> np.ndarray:
         """Hashes of the d words before each place."""
         return (self.sums[i] - self.sums[i - d]) * self.back[i - d]
 
     @classmethod
-    def of(cls, texts: pa.Array) -> Slice:
+    def of(cls, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words in each text with its ends, or 0 for a null; hashes of the different words, in order; each word's place among them)."""
         words, at, n = hashed(texts)
         words, where = np.unique(np.concatenate([words, np.array([BEGIN, END], np.uint64)]), return_inverse=True)
         has = np.asarray(texts.is_valid())
@@ -115,21 +100,30 @@ class Slice:
         x[first], x[first + n[has] - 1] = where[-2], where[-1]
         inner[first] = inner[first + n[has] - 1] = False
         x[inner] = where[at]
-        return cls(n, words, x)
+        return n, words, x
 
     @classmethod
     def load(cls, n, state: bytes, spread: int = SPREAD) -> Slice:
         a = unpack(state)
-        s = cls(n, a["words"], a["x"])
+        x = a["x"].astype(np.int64)
         if "counts" in a:
+            s = cls(n, np.cumsum(a["words"], dtype=np.int64), x)
             s.begin(a["counts"], float(a["norm"][0]), spread)
-        elif "live" in a:
-            s.live, s.q, s.k, s.done = np.cumsum(a["live"]), a["q"].astype(float), a["k"].astype(np.int64), a["done"]
+        else:
+            s = cls(a["n"], np.cumsum(a["words"], dtype=np.int64), x, a["which"].astype(np.int64))
+            s.live, s.q, s.k, s.done = np.cumsum(a["live"], dtype=np.int64), a["q"].astype(float), a["k"].astype(np.int64), a["done"]
             s.rare = np.unpackbits(a["rare"], count=len(s.x)).astype(bool)
         return s
 
     def save(self) -> bytes:
-        return pack(words=self.words, x=small(self.x), live=small(np.diff(self.live, prepend=0)), q=self.q.astype(np.float32), k=small(self.k), done=self.done, rare=np.packbits(self.rare))
+        """Without what no live place needs: the texts that have none, and what follows a text's last one."""
+        last = np.full(len(self.n), -1)
+        last[self.text[self.live]] = self.place[self.live]  # in order, so the last stays
+        keep = self.place <= last[self.text]
+        words, x = np.unique(self.x[keep], return_inverse=True)
+        live = (np.cumsum(keep) - 1)[self.live]
+        some = last >= 0
+        return pack(which=small(self.which[some]), n=small(last[some] + 1), words=small(np.diff(self.words[words], prepend=0)), x=small(x), live=small(np.diff(live, prepend=0)), q=self.q.astype(np.float32), k=small(self.k), done=self.done, rare=np.packbits(self.rare[keep]))
 
     def begin(self, counts: np.ndarray, norm: float, spread: int) -> None:
         """From the counts of `words` in the corpus: depth 0 is scored, and words that are frequent are contexts."""
@@ -141,13 +135,14 @@ class Slice:
         self.rare = scored & (before < MIN_COUNT)
         self.q, self.k = q[self.live], 1 + before[self.live] // spread
         self.done = np.bincount(self.text[self.rare], q[self.rare], len(self.n)).astype(float)
+        self.counts, self.norm = counts, norm
 
     def requests(self, d0: int, d1: int, shards: int) -> tuple[list[dict], list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """What to ask for the depths d0 < d <= d1: (a message for each shard, [(which of `live`, row)] for each depth, rows by shard).
 
         All contexts that extend one of depth d0 + 1 go to one shard, unless that is shared by several.
         """
-        piece = mix(self.words[self.x[self.live]]) % self.k.astype(np.uint64) if d1 == d0 + 1 else np.zeros(len(self.live), np.uint64)
+        piece = mix(self.words.astype(np.uint64)[self.x[self.live]]) % self.k.astype(np.uint64) if d1 == d0 + 1 else np.zeros(len(self.live), np.uint64)
         home = (mix(self.context(self.live, d0 + 1) + piece * BASE) % np.uint64(shards)).astype(np.int64)
         depths, columns, at = [], [], 0
         for d in range(d0 + 1, d1 + 1):
@@ -176,11 +171,13 @@ class Slice:
             if a < b:
                 contexts, first, ci = np.unique(c[a:b], return_index=True, return_inverse=True)
                 xs, xi = np.unique(x[a:b], return_inverse=True)
-                parts = {"context": contexts, "ci": small(ci), "word": self.words[xs], "xi": small(xi), "n": small(n[a:b]), "k": small(k[a:b][first])}
+                parts = {"context": contexts, "ci": small(ci), "word": small(np.diff(self.words[xs], prepend=0)), "xi": small(np.diff(xi, prepend=0)) if d1 == d0 + 1 else small(xi), "n": small(n[a:b]), "k": small(k[a:b][first])}
                 if d1 > d0 + 1:
                     suffixes, si = np.unique(suffix[a:b], return_inverse=True)
                     parts |= {"suffix": suffixes, "si": small(si), "d": small(d[a:b])}
-                asked.append({"shard": s} | parts | {"q": q[a:b][d[a:b] == d0 + 1].astype(np.float32)})
+                # at depth 0 a word's q follows from its count
+                parts |= {"counts": small(self.counts[xs])} if not d0 else {"q": q[a:b][d[a:b] == d0 + 1].astype(np.float32)}
+                asked.append({"shard": s} | parts)
         return asked, depths, by_shard
 
     def apply(self, d0: int, d1: int, shards: int, replies: dict[int, bytes], shared: list, spread: int) -> None:
@@ -218,7 +215,7 @@ class Slice:
             open_[j[grows[row] & ~seldom & (self.place[i] > d)]] = True
             self.k[j] = np.where(near, 1 + before // spread, self.k[j])
         shut = ~open_
-        self.done = self.done + np.bincount(self.text[self.live[shut]], self.q[shut], len(self.n))
+        np.add.at(self.done, self.which[self.text[self.live[shut]]], self.q[shut])
         self.live, self.q, self.k = self.live[open_], self.q[open_], self.k[open_]
 
 
@@ -226,7 +223,7 @@ def batch(schema: list[str], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[c] for c in schema], names=schema)
 
 
-def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int) -> Iterator[pa.RecordBatch]:
+def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) -> Iterator[pa.RecordBatch]:
     """Replies to all messages of a shard: each row's count in the corpus; each context's total, and flags: 1 kept, 2 may grow, 4 shared.
 
     A longer context's G2 is at most 2 sum(n (-ln q)) over this one's next words, q being what they have here.  Where that is
@@ -236,9 +233,15 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int) -> Iterator[pa.R
     if not asked:
         return
     parts = [a for _, _, a in asked]
+    for a in parts:
+        a["word"] = np.cumsum(a["word"], dtype=np.uint64)
+        if d1 == d0 + 1:
+            a["xi"] = np.cumsum(a["xi"], dtype=np.int64)
+        if not d0:
+            a["q"] = np.log((a["counts"].astype(np.int64) + 0.5) / norm)[a["xi"]]
     join = lambda f: np.concatenate([f(a) for a in parts])
     ends = np.cumsum([len(a["ci"]) for a in parts])
-    c, x, n_all = join(lambda a: a["context"][a["ci"]]), join(lambda a: a["word"][a["xi"]]), join(lambda a: a["n"].astype(np.int64))
+    c, x, n_all = join(lambda a: a["context"][a["ci"]]), mix(join(lambda a: a["word"][a["xi"]])), join(lambda a: a["n"].astype(np.int64))
     depth = join(lambda a: a["d"]) if d1 > d0 + 1 else np.full(len(c), d1)
     suffix = join(lambda a: a["suffix"][a["si"]]) if d1 > d0 + 1 else None
     q_all = np.full(len(c), np.nan)
@@ -284,7 +287,7 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int) -> Iterator[pa.R
 
 
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Depth 0: replies with the corpus's counts of words, and a row with their number and sum."""
+    """Depth 0: replies with the corpus's counts of words and numbers for them, the frequent first, and a row with their number and sum."""
     asked = [(s, h, unpack(p)) for b in batches for s, h, p in zip(*[b.column(c).to_pylist() for c in ("slice", "shard", "payload")])]
     if not asked:
         return
@@ -292,9 +295,12 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.bincount(inv, np.concatenate([a["n"].astype(np.int64) for _, _, a in asked])).astype(np.int64)
     schema = [x.split()[0] for x in REPLY.split(", ")]
     rest = {"context": pa.nulls(1, pa.int64()), "nlogn": pa.nulls(1, pa.float64()), "nq": pa.nulls(1, pa.float64()), "asked": pa.nulls(1, pa.list_(pa.int64()))}
+    number = np.empty(len(n), np.int64)
+    number[np.lexsort((words, -n))] = np.arange(len(n))
     at = 0
     for s, h, a in asked:
-        reply = pack(n=small(n[inv[at : at + len(a["word"])]]))
+        i = inv[at : at + len(a["word"])]
+        reply = pack(n=small(n[i]), number=small(number[i]))
         at += len(a["word"])
         yield batch(schema, slice=pa.array([s]), shard=pa.array([h], pa.int32()), payload=pa.array([reply], pa.binary()), total=pa.nulls(1, pa.int64()), different=pa.nulls(1, pa.int64()), **rest)
     ok = (words != BEGIN) & (n > 0)
@@ -322,18 +328,14 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     scratch, columns = Scratch(spark, "tree"), f"slice long, ids array<{kind}>, n array<long>, counted boolean, out boolean, live long, state binary"
     names = [c.split()[0] for c in columns.split(", ")]
 
-    def tidy() -> None:
-        gc.collect()  # else the shuffle files of all steps pile up
-        spark._jvm.System.gc()
-
     def tokenise(batches):
         task, seq = TaskContext.get().partitionId(), 0
         for b in batches:
             for part in cut(b, 1, chars):
-                s = Slice.of(part.column(1))
+                n, words, x = Slice.of(part.column(1))
                 one = lambda a, t: pa.array([a], t)
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                yield batch(names, slice=one(task << 24 | seq, pa.int64()), ids=ids, n=one(s.n, pa.list_(pa.int64())), counted=part.column(2).slice(0, 1), out=part.column(3).slice(0, 1), live=one(len(s.x), pa.int64()), state=one(pack(words=s.words, x=small(s.x)), pa.binary()))
+                yield batch(names, slice=one(task << 24 | seq, pa.int64()), ids=ids, n=one(n, pa.list_(pa.int64())), counted=part.column(2).slice(0, 1), out=part.column(3).slice(0, 1), live=one(len(x), pa.int64()), state=one(pack(words=words, x=small(x)), pa.binary()))
                 seq += 1
 
     used = lambda d, counted, out: d.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.lit(counted).alias("counted"), F.lit(out).alias("out"))
@@ -349,7 +351,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     def exchange(ask, answer) -> DataFrame:
         out = state.mapInArrow(ask, "slice long, shard int, payload binary").repartitionById(shards, F.col("shard")).mapInArrow(answer, REPLY)
         saved = scratch.save(out)
-        tidy()
+        tidy(spark)
         return saved
 
     def rows(batches):
@@ -386,7 +388,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
         to_arrow = pa.schema([("slice", pa.int64()), ("ids", arrow_ids), ("n", pa.list_(pa.int64())), ("counted", pa.bool_()), ("out", pa.bool_()), ("live", pa.int64()), ("state", pa.binary())])
         saved = scratch.save(all_.repartition(parts, "slice").mapInArrow(run, columns))
         scratch.drop(state, replies)
-        tidy()
+        tidy(spark)
         return saved
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -396,23 +398,28 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
 
     def ask_words(batches):
         for r in rows(batches):
-            s = Slice.load(r["n"], r["state"])
-            n = np.bincount(s.x, (s.place > 0) | (s.words[s.x] == BEGIN), len(s.words)).astype(np.int64) * r["counted"]
-            shard = home(s.words)
+            a, n = unpack(r["state"]), np.array(r["n"], np.int64)
+            words, x, first = a["words"], a["x"], (np.cumsum(n) - n)[n > 0]
+            count = np.bincount(x, minlength=len(words)) * r["counted"]
+            assert (words[x[first]] == BEGIN).all()
+            shard = home(words)
             for h in np.unique(shard):
-                yield message(r["slice"], int(h), pack(word=s.words[shard == h], n=small(n[shard == h])))
+                yield message(r["slice"], int(h), pack(word=words[shard == h], n=small(count[shard == h])))
 
     counted = exchange(ask_words, tally)
     different, total = counted.where("slice is null").agg(F.coalesce(F.sum("different"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    norm = total + 0.5 * (different + 1)  # one more for what was never seen
+    norm = float(total + 0.5 * (different + 1))  # one more for what was never seen
 
     def begin(r, payloads, _):
-        s = Slice.load(r["n"], r["state"])
-        counts, shard = np.zeros(len(s.words), np.int64), home(s.words)
+        a = unpack(r["state"])
+        counts, numbers, shard = np.zeros(len(a["words"]), np.int64), np.zeros(len(a["words"]), np.int64), home(a["words"])
         for h, p in payloads.items():
-            counts[shard == h] = unpack(p)["n"]
-        s.begin(counts, norm, spread)
-        return pack(words=s.words, x=small(s.x), counts=small(counts), norm=np.array([norm])), len(s.live)
+            got = unpack(p)
+            counts[shard == h], numbers[shard == h] = got["n"], got["number"].astype(np.int64) * shards + h
+        order = np.argsort(numbers)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return pack(words=small(np.diff(numbers[order], prepend=0)), x=small(back[a["x"]]), counts=small(counts[order]), norm=np.array([norm])), max(1, len(a["x"]))
 
     state = replied(counted, None, begin)
     d0, d1 = 0, 1
@@ -428,12 +435,13 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
                         yield message(r["slice"], h, pack(**a))
 
         def apply(r, payloads, known, d0=d0, d1=d1):
+            if not r["live"]:
+                return r["state"], 0
             s = Slice.load(r["n"], r["state"], spread)
-            if r["live"]:
-                s.apply(d0, d1, shards, payloads, known, spread)
+            s.apply(d0, d1, shards, payloads, known, spread)
             return s.save(), len(s.live)
 
-        replies = exchange(ask, lambda batches, d0=d0, d1=d1: settle(batches, d0, d1))
+        replies = exchange(ask, lambda batches, d0=d0, d1=d1: settle(batches, d0, d1, norm))
         shared = replies.where("slice is null")
         decided = None
         if shared.limit(1).count():
@@ -442,12 +450,11 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
             asking = shared.select("context", F.explode("asked").alias("slice")).distinct()
             decided = asking.join(sums, "context").groupBy("slice").agg(F.collect_list(F.struct("context", "total", "kept")).alias("known"))
         state = replied(replies, decided, apply)
-        d0, d1 = d1, d1 + 1 if d1 < SINGLE else 2 * d1
+        d0, d1 = d1, d1 + 1 if d1 < SINGLE else 4 * d1
 
     def scores(batches):
         for r in rows(batches):
-            s = Slice.load(r["n"], r["state"])
-            n, total = np.maximum(s.n - 1, 0), s.done
+            n, total = np.maximum(np.array(r["n"], np.int64) - 1, 0), unpack(r["state"])["done"]
             missing = n == 0
             yield pa.RecordBatch.from_arrays([pa.array(r["ids"], arrow_ids.value_type), pa.array(n, mask=missing), pa.array(total, mask=missing), pa.array(np.exp(-total / np.maximum(n, 1)), mask=missing)], names=["doc_id", "n_symbols", "log_prob", "perplexity"])
 
