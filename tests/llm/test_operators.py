@@ -507,6 +507,30 @@ def test_repeats_against_counting(spark, k):
     assert (91 in cuts) == (len(texts[5]) >= k)
 
 
+def test_repeats_are_verified(spark):
+    """With hashes of eight bits nearly all edges collide; still nothing is cut that isn't repeated token by token."""
+    rng, k = random.Random(4), 6
+    passage = [f"p{i}" for i in range(15)]
+    texts = {i: [f"w{rng.randrange(900)}" for _ in range(25)] + (passage if i % 5 == 0 else []) for i in range(40)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    _, at = brute_spans(texts, k)
+    before = set(at)
+    for mask in (0xFF, 0xFFFFFFFF):
+        cut = [(r["doc_id"], a, b) for r in debruijn.repeated_spans(df, k=k, mask=mask).collect() for a, b in r["cuts"]]
+        assert all(at[tuple(texts[i][j : j + k])] > 1 for i, a, b in cut for j in range(a, b - k + 1))
+        left = {tuple(w[j : j + k]) for r in debruijn.drop_repeats(df, k=k, mask=mask).collect() for w in [r["text"].split()] for j in range(len(w) - k + 1)}
+        assert before <= left or mask == 0xFFFFFFFF
+    assert len(cut) == 7 and {g for g in before if at[g] == 1 and not set(g) & set(passage)} <= left
+
+
+def test_repeats_take_repeated_names(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a, 5, 6), (2, a + " more", 7, 8)], "doc_id long, text string, x int, y int").toDF("doc_id", "text", "x", "x")
+    out = debruijn.drop_repeats(df)
+    rows = [tuple(r) for r in out.collect()]
+    assert out.columns == df.columns and len(rows) in (1, 2) and {r[2:] for r in rows} <= {(5, 6), (7, 8)} and sum("a59" in r[1] for r in rows) == 1
+
+
 def test_paths_compact(spark):
     """Two passages that share their middle: the graph has one path for the middle and one for each end."""
     k = 5
