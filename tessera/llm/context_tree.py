@@ -23,7 +23,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: No token holds a space, so no token is one of these.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(w)) for w in (b" begin", b" end"))
 #: Characters of text in a slice; words that a task of the counting side gets; occurrences beyond which a context has several tasks.
-CHARS, WORDS, SPREAD = 4_000_000, 1_250_000, 1 << 20
+CHARS, WORDS, SPREAD = 4_000_000, 2_000_000, 1 << 20
 #: Depths that are settled one by one; after that, each block goes four times as deep as the one before.
 SINGLE = 4
 REPLY = "slice long, shard int, payload binary, context long, total long, different long, nlogn double, nq double, asked array<long>"
@@ -137,65 +137,79 @@ class Slice:
         self.done = np.bincount(self.text[self.rare], q[self.rare], len(self.n)).astype(float)
         self.counts, self.norm = counts, norm
 
-    def requests(self, d0: int, d1: int, shards: int) -> tuple[list[dict], list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """What to ask for the depths d0 < d <= d1: (a message for each shard, [(which of `live`, row)] for each depth, rows by shard).
+    def places(self, d0: int, d1: int, shards: int):
+        """Each depth's (which of `live`, their rows), and of all rows the shard, d, context and the first place that asks; rows by shard.
 
         All contexts that extend one of depth d0 + 1 go to one shard, unless that is shared by several.
         """
         piece = mix(self.words.astype(np.uint64)[self.x[self.live]]) % self.k.astype(np.uint64) if d1 == d0 + 1 else np.zeros(len(self.live), np.uint64)
-        home = (mix(self.context(self.live, d0 + 1) + piece * BASE) % np.uint64(shards)).astype(np.int64)
+        home = mix(self.context(self.live, d0 + 1) + piece * BASE) % np.uint64(shards)
+        bits = len(self.words).bit_length()
+        key = home << np.uint64(bits) | self.x[self.live].astype(np.uint64)
+        rest = 64 - bits - shards.bit_length()
         depths, columns, at = [], [], 0
         for d in range(d0 + 1, d1 + 1):
             j = np.flatnonzero(self.place[self.live] >= d)
             i = self.live[j]
             c = self.context(i, d)
-            key = home[j] * len(self.words) + self.x[i]
-            order = np.lexsort((c, key))
-            new = np.ones(len(order), bool)
-            new[1:] = (np.diff(key[order]) != 0) | (np.diff(c[order]) != 0)
+            # one word's rows follow each other; should the rest of the bits not tell contexts apart, one may have two rows
+            full = key[j] << np.uint64(rest) | mix(c) >> np.uint64(64 - rest)
+            order = np.argsort(full)
+            new = runs(full[order], c[order])
             row = np.empty(len(order), np.int64)
             row[order] = np.cumsum(new) - 1 + at
             starts = np.flatnonzero(new)
             f = order[starts]
-            n = np.diff(starts, append=len(order))
-            columns.append((home[j][f], np.full(len(f), d), c[f], self.context(i[f], d - 1) if d > d0 + 1 else np.zeros(0, np.uint64), self.x[i[f]], n, self.q[j[f]], self.k[j[f]] if d1 == d0 + 1 else np.ones(len(f), np.int64)))
+            columns.append((home[j][f].astype(np.int64), np.full(len(f), d), c[f], j[f], np.diff(starts, append=len(order))))
             depths.append((j, row))
             at += len(f)
-        shard = np.concatenate([x[0] for x in columns])
-        by_shard = np.argsort(shard, kind="stable")
-        d, c, x, n, q, k = (np.concatenate([y[z] for y in columns])[by_shard] for z in (1, 2, 4, 5, 6, 7))
-        suffix = np.concatenate([np.zeros(len(columns[0][0]), np.uint64), *[y[3] for y in columns[1:]]])[by_shard]
+        shard, d, c, j, n = (np.concatenate([y[z] for y in columns]) for z in range(5))
+        return depths, shard, d, c, j, n, np.argsort(shard, kind="stable")
+
+    def requests(self, d0: int, d1: int, shards: int) -> Iterator[tuple[int, dict]]:
+        """What to ask for the depths d0 < d <= d1: (shard, message)."""
+        depths, shard, d, c, j, n, by_shard = self.places(d0, d1, shards)
+        x, q = self.x[self.live[j]], self.q[j]
+        k = self.k[j] if d1 == d0 + 1 else np.ones(len(j), np.int64)
+        # a row's suffix is the row of the same place at the depth before
+        suffix, before = np.zeros(len(j), np.int64), np.full(len(self.live), -1)
+        for which, row in depths:
+            first = np.zeros(len(self.live), np.int64)
+            first[which] = row
+            mine = np.unique(row)
+            suffix[mine] = before[j[mine]]
+            before = first
+        place = np.empty(len(j), np.int64)
         cuts = np.searchsorted(shard[by_shard], np.arange(shards + 1))
-        asked = []
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
-                contexts, first, ci = np.unique(c[a:b], return_index=True, return_inverse=True)
-                xs, xi = np.unique(x[a:b], return_inverse=True)
-                parts = {"context": contexts, "ci": small(ci), "word": small(np.diff(self.words[xs], prepend=0)), "xi": small(np.diff(xi, prepend=0)) if d1 == d0 + 1 else small(xi), "n": small(n[a:b]), "k": small(k[a:b][first])}
-                if d1 > d0 + 1:
-                    suffixes, si = np.unique(suffix[a:b], return_inverse=True)
-                    parts |= {"suffix": suffixes, "si": small(si), "d": small(d[a:b])}
+                rows = by_shard[a:b]
+                contexts, first, ci = np.unique(c[rows], return_index=True, return_inverse=True)
+                xs, xi = np.unique(x[rows], return_inverse=True)
+                one = d1 == d0 + 1
+                parts = {"context": contexts, "ci": small(ci), "word": small(np.diff(self.words[xs], prepend=0)), "xi": small(np.diff(xi, prepend=0)) if one else small(xi), "n": small(n[rows]), "k": small(k[rows][first])}
+                if not one:
+                    place[rows] = np.arange(len(rows))
+                    deep = d[rows] > d0 + 1
+                    parts |= {"d": small(d[rows]), "suffix": small(place[suffix[rows[deep]]])}
                 # at depth 0 a word's q follows from its count
-                parts |= {"counts": small(self.counts[xs])} if not d0 else {"q": q[a:b][d[a:b] == d0 + 1].astype(np.float32)}
-                asked.append({"shard": s} | parts)
-        return asked, depths, by_shard
+                yield s, parts | ({"counts": small(self.counts[xs])} if not d0 else {"q": q[rows][d[rows] == d0 + 1].astype(np.float32)})
 
     def apply(self, d0: int, d1: int, shards: int, replies: dict[int, bytes], shared: list, spread: int) -> None:
         """Scores the depths d0 < d <= d1 by the replies to requests(), and those about shared contexts."""
-        asked, depths, by_shard = self.requests(d0, d1, shards)
-        n, total, kept, grows = (np.zeros(len(by_shard), t) for t in (np.int64, np.int64, bool, bool))
-        at = 0
-        for r in asked:
-            a = unpack(replies[r["shard"]])
-            rows, ci = by_shard[at : at + len(r["ci"])], r["ci"]
-            t, flag = a["total"].astype(np.int64), a["flag"].copy()
-            if (flag & 4).any():  # decided elsewhere
-                known = {x["context"]: x for x in shared}
-                for c in np.flatnonzero(flag & 4):
-                    found = known[int(r["context"].view(np.int64)[c])]
-                    t[c], flag[c] = found["total"], 2 | found["kept"]
-            n[rows], total[rows], kept[rows], grows[rows] = a["n"], t[ci], flag[ci] & 1 > 0, flag[ci] & 2 > 0
-            at += len(rows)
+        depths, shard, _, context, _, _, by_shard = self.places(d0, d1, shards)
+        n, total, flag = (np.zeros(len(by_shard), t) for t in (np.int64, np.int64, np.uint8))
+        cuts = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+        for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                rows, reply = by_shard[a:b], unpack(replies[s])
+                n[rows], total[rows], flag[rows] = reply["n"], reply["total"].astype(np.int64)[reply["ci"]], reply["flag"][reply["ci"]]
+        if (flag & 4).any():  # decided elsewhere
+            known = {x["context"]: x for x in shared}
+            for r in np.flatnonzero(flag & 4):
+                found = known[int(context[r].view(np.int64))]
+                total[r], flag[r] = found["total"], 2 | found["kept"]
+        kept, grows = flag & 1 > 0, flag & 2 > 0
         open_ = np.ones(len(self.live), bool)
         for d, (j, row) in zip(range(d0 + 1, d1 + 1), depths):
             if d > d0 + 1:
@@ -223,11 +237,52 @@ def batch(schema: list[str], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[c] for c in schema], names=schema)
 
 
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it in any column."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different values in order, a place of each, which of them each is)."""
+    order = np.argsort(x)
+    new = runs(x[order])
+    inv = np.empty(len(x), np.int64)
+    inv[order] = np.cumsum(new) - 1
+    return x[order[new]], order[new], inv
+
+
+def most(n: np.ndarray, logs: np.ndarray, ctx: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """A bound on the G2 of all longer contexts, from the counts of a context's next words and ln q, what it gives them.
+
+    A longer context has some n'(x) <= n(x), MIN_COUNT in sum at least, and G2 = 2 sum(n' ln(n' / (N' q))).  That is at most
+    2 sum(n (-ln q)).  It is convex, so its maximum is where all n' but one are 0 or n, and that one is neither only if the sum
+    is MIN_COUNT.  If all but the most frequent word, A, are fewer than MIN_COUNT, R, then A must be in it: whole, with N' >=
+    n(A); or in part, with what is best for the rest, none or all of it.
+    """
+    size, low = len(total), math.log(MIN_COUNT)
+    bound = np.bincount(ctx, -n * logs, size)
+    top, at = np.zeros(size, np.int64), np.full(size, len(n))
+    np.maximum.at(top, ctx, n)
+    is_top = np.flatnonzero(n == top[ctx])
+    np.minimum.at(at, ctx[is_top], is_top)
+    rest_of, lr = np.ones(len(n), bool), np.log(np.maximum(n, 1)) - logs
+    rest_of[at] = False
+    top, rest = np.maximum(top, 1).astype(float), total - top
+    whole = top * (lr[at] - np.log(top)) + np.bincount(ctx, np.where(rest_of, n * np.maximum(0, lr - np.log(top)[ctx]), 0), size)
+    best = np.full(size, -np.inf)
+    np.maximum.at(best, ctx[rest_of], lr[rest_of])
+    some = np.maximum(MIN_COUNT - rest, 1e-9)
+    part = np.where(rest > 0, rest * (np.where(rest > 0, best, 0) - low), 0) + some * (np.log(some) - low - logs[at])
+    tight = np.maximum(np.maximum(whole, part), MIN_COUNT * -logs[at])
+    return 2 * np.where(rest < MIN_COUNT, np.minimum(bound, tight), bound)
+
+
 def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) -> Iterator[pa.RecordBatch]:
     """Replies to all messages of a shard: each row's count in the corpus; each context's total, and flags: 1 kept, 2 may grow, 4 shared.
 
-    A longer context's G2 is at most 2 sum(n (-ln q)) over this one's next words, q being what they have here.  Where that is
-    below MIN_G2 no longer context can be kept, so none is looked at; that loses nothing.
+    Where no longer context can have a G2 of MIN_G2, by most(), none is looked at, which loses nothing.
     """
     asked = [(s, h, unpack(p)) for b in batches for s, h, p in zip(*[b.column(c).to_pylist() for c in ("slice", "shard", "payload")])]
     if not asked:
@@ -243,30 +298,34 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) ->
     ends = np.cumsum([len(a["ci"]) for a in parts])
     c, x, n_all = join(lambda a: a["context"][a["ci"]]), mix(join(lambda a: a["word"][a["xi"]])), join(lambda a: a["n"].astype(np.int64))
     depth = join(lambda a: a["d"]) if d1 > d0 + 1 else np.full(len(c), d1)
-    suffix = join(lambda a: a["suffix"][a["si"]]) if d1 > d0 + 1 else None
+    suffix = np.zeros(len(c), np.int64)
+    for a, end in zip(parts, ends):
+        if d1 > d0 + 1:
+            suffix[end - len(a["ci"]) : end][a["d"] > d0 + 1] = a["suffix"].astype(np.int64) + (end - len(a["ci"]))
     q_all = np.full(len(c), np.nan)
     q_all[depth == d0 + 1] = join(lambda a: a["q"])
     counts, names, totals, flags, sums = np.zeros(len(c), np.int64), [], [], [], []
     many = join(lambda a: a["context"][a["k"] > 1])
-    keys = logs = None
+    before = None
     for d in range(d0 + 1, d1 + 1):
-        m = np.flatnonzero(depth == d)
-        g, at, inv = np.unique(gram(c[m], d, x[m]), return_index=True, return_inverse=True)
+        mine = m = np.flatnonzero(depth == d)
+        g, at, inv = distinct(gram(c[m], d, x[m]))
         n = np.bincount(inv, n_all[m], len(g)).astype(np.int64)
         counts[m] = n[inv]
         m = m[at]
-        some, ctx = np.unique(c[m], return_inverse=True)
+        some, _, ctx = distinct(c[m])
         total, different = np.bincount(ctx, n, len(some)), np.bincount(ctx, n > 0, len(some))
         q = q_all[m]
-        if keys is not None:
-            parent = gram(suffix[m], d - 1, x[m])
-            q = logs[np.searchsorted(keys, parent)]
+        if before is not None:
+            q = before[suffix[m]]
         log_n = np.log(np.maximum(n, 1))
         nlogn, nq = np.bincount(ctx, n * log_n, len(some)), np.bincount(ctx, n * q, len(some))
         g2 = 2 * (nlogn - total * np.log(np.maximum(total, 1)) - nq)
         kept = (total >= MIN_COUNT) & (g2 >= critical(np.maximum(different - 1, 1))) & (g2 >= 2 * total * MIN_KL)
-        keys, logs = g, np.where(kept[ctx], np.log((n + PRIOR * np.exp(q)) / (total[ctx] + PRIOR)), q)
-        grows = (total >= MIN_COUNT) & (2 * np.bincount(ctx, -n * logs, len(some)) >= MIN_G2)
+        logs = np.where(kept[ctx], np.log((n + PRIOR * np.exp(q)) / (total[ctx] + PRIOR)), q)
+        before = np.zeros(len(c))
+        before[mine] = logs[inv]
+        grows = (total >= MIN_COUNT) & (most(n, logs, ctx, total) >= MIN_G2)
         shared = np.isin(some, many)
         names.append(some)
         totals.append(total.astype(np.int64))
@@ -278,7 +337,7 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) ->
     nothing = {f: pa.nulls(1, t) for f, t in (("context", pa.int64()), ("total", pa.int64()), ("different", pa.int64()), ("nlogn", pa.float64()), ("nq", pa.float64()), ("asked", pa.list_(pa.int64())))}
     for (s, h, a), end in zip(asked, ends):
         where = np.searchsorted(name, a["context"])
-        reply = pack(n=small(counts[end - len(a["ci"]) : end]), total=small(total[where]), flag=flag[where])
+        reply = pack(n=small(counts[end - len(a["ci"]) : end]), total=small(total[where]), flag=flag[where], ci=a["ci"])
         yield batch(schema, slice=pa.array([s]), shard=pa.array([h], pa.int32()), payload=pa.array([reply], pa.binary()), **nothing)
     for i, found in enumerate(zip(*[np.concatenate(y) for y in zip(*sums)])):
         context, total_, different_, nlogn_, nq_ = found
@@ -428,8 +487,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
         def ask(batches, d0=d0, d1=d1):
             for r in rows(batches):
                 if r["live"]:
-                    for a in Slice.load(r["n"], r["state"], spread).requests(d0, d1, shards)[0]:
-                        h = a.pop("shard")
+                    for h, a in Slice.load(r["n"], r["state"], spread).requests(d0, d1, shards):
                         if not r["counted"]:
                             a["n"] = np.zeros_like(a["n"])
                         yield message(r["slice"], h, pack(**a))
