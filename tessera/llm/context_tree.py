@@ -24,7 +24,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(w)) for w in (b" begin", b" end"))
 #: Characters of text in a slice; words that a task of the counting side gets; occurrences beyond which a context has several tasks.
 CHARS, WORDS, SPREAD = 4_000_000, 2_000_000, 1 << 20
-#: Depths that are settled one by one; after that, each block goes four times as deep as the one before.
+#: Depths that are settled one by one; after that, blocks go up to four times as deep as before, by as many as half the words.
 SINGLE = 4
 REPLY = "slice long, shard int, payload binary, context long, total long, different long, nlogn double, nq double, asked array<long>"
 
@@ -47,7 +47,7 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def gram(context: np.ndarray, d: int, x: np.ndarray) -> np.ndarray:
     """The hash of a context of d words and the next."""
-    return context + np.uint64(pow(int(BASE), d, 1 << 64)) * x
+    return context + np.uint64(pow(int(BASE), int(d), 1 << 64)) * x
 
 
 def critical(df: np.ndarray) -> np.ndarray:
@@ -138,96 +138,92 @@ class Slice:
         self.counts, self.norm = counts, norm
 
     def places(self, d0: int, d1: int, shards: int):
-        """Each depth's (which of `live`, their rows), and of all rows the shard, d, context and the first place that asks; rows by shard.
+        """(which of `live`, depth, row) of every place and depth that is asked for, depths of a place one after another; and of
+        all rows the shard and the first that asks.  Rows are in order of shards, and of words in them.
 
         All contexts that extend one of depth d0 + 1 go to one shard, unless that is shared by several.
         """
-        piece = mix(self.words.astype(np.uint64)[self.x[self.live]]) % self.k.astype(np.uint64) if d1 == d0 + 1 else np.zeros(len(self.live), np.uint64)
+        one = d1 == d0 + 1
+        depths = np.minimum(self.place[self.live], d1) - d0
+        j = np.repeat(np.arange(len(self.live)), depths)
+        d = np.full(len(j), d1) if one else np.arange(len(j)) - np.repeat(np.cumsum(depths) - depths, depths) + d0 + 1
+        i = self.live[j]
+        piece = mix(self.words.astype(np.uint64)[self.x[self.live]]) % self.k.astype(np.uint64) if one else np.zeros(len(self.live), np.uint64)
         home = mix(self.context(self.live, d0 + 1) + piece * BASE) % np.uint64(shards)
         bits = len(self.words).bit_length()
-        key = home << np.uint64(bits) | self.x[self.live].astype(np.uint64)
         rest = 64 - bits - shards.bit_length()
-        depths, columns, at = [], [], 0
-        for d in range(d0 + 1, d1 + 1):
-            j = np.flatnonzero(self.place[self.live] >= d)
-            i = self.live[j]
-            c = self.context(i, d)
-            # one word's rows follow each other; should the rest of the bits not tell contexts apart, one may have two rows
-            full = key[j] << np.uint64(rest) | mix(c) >> np.uint64(64 - rest)
-            order = np.argsort(full)
-            new = runs(full[order], c[order])
-            row = np.empty(len(order), np.int64)
-            row[order] = np.cumsum(new) - 1 + at
-            starts = np.flatnonzero(new)
-            f = order[starts]
-            columns.append((home[j][f].astype(np.int64), np.full(len(f), d), c[f], j[f], np.diff(starts, append=len(order))))
-            depths.append((j, row))
-            at += len(f)
-        shard, d, c, j, n = (np.concatenate([y[z] for y in columns]) for z in range(5))
-        return depths, shard, d, c, j, n, np.argsort(shard, kind="stable")
+        c = self.context(i, d)
+        # should the rest of the bits not tell contexts apart, one may have two rows
+        key = (home << np.uint64(bits) | self.x[self.live].astype(np.uint64))[j] << np.uint64(rest) | mix(c + (d * 2).astype(np.uint64)) >> np.uint64(64 - rest)
+        order = np.argsort(key)
+        new = runs(key[order], c[order], d[order])
+        row = np.empty(len(order), np.int64)
+        row[order] = np.cumsum(new) - 1
+        first = order[new]
+        return j, d, c, row, home[j[first]].astype(np.int64), first
 
     def requests(self, d0: int, d1: int, shards: int) -> Iterator[tuple[int, dict]]:
         """What to ask for the depths d0 < d <= d1: (shard, message)."""
-        depths, shard, d, c, j, n, by_shard = self.places(d0, d1, shards)
-        x, q = self.x[self.live[j]], self.q[j]
-        k = self.k[j] if d1 == d0 + 1 else np.ones(len(j), np.int64)
+        if not len(self.live):
+            return
+        one = d1 == d0 + 1
+        j, d, c, row, shard, first = self.places(d0, d1, shards)
+        n = np.bincount(row)
         # a row's suffix is the row of the same place at the depth before
-        suffix, before = np.zeros(len(j), np.int64), np.full(len(self.live), -1)
-        for which, row in depths:
-            first = np.zeros(len(self.live), np.int64)
-            first[which] = row
-            mine = np.unique(row)
-            suffix[mine] = before[j[mine]]
-            before = first
-        place = np.empty(len(j), np.int64)
-        cuts = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+        suffix, d, c, j = row[first - 1], d[first], c[first], j[first]
+        x, q, k = self.x[self.live[j]], self.q[j], self.k[j]
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
-                rows = by_shard[a:b]
-                contexts, first, ci = np.unique(c[rows], return_index=True, return_inverse=True)
-                xs, xi = np.unique(x[rows], return_inverse=True)
-                one = d1 == d0 + 1
-                parts = {"context": contexts, "ci": small(ci), "word": small(np.diff(self.words[xs], prepend=0)), "xi": small(np.diff(xi, prepend=0)) if one else small(xi), "n": small(n[rows]), "k": small(k[rows][first])}
-                if not one:
-                    place[rows] = np.arange(len(rows))
-                    deep = d[rows] > d0 + 1
-                    parts |= {"d": small(d[rows]), "suffix": small(place[suffix[rows[deep]]])}
+                contexts, at, ci = distinct(c[a:b])
+                new = runs(x[a:b])
+                xi = np.cumsum(new) - 1
+                parts = {"context": contexts, "ci": small(ci), "word": small(np.diff(self.words[x[a:b][new]], prepend=0)), "xi": small(np.diff(xi, prepend=0)), "n": small(n[a:b])}
+                if one:
+                    parts["k"] = small(k[a:b][at])
+                else:
+                    deep = d[a:b] > d0 + 1
+                    parts |= {"d": small(d[a:b]), "suffix": small(suffix[a:b][deep] - a)}
                 # at depth 0 a word's q follows from its count
-                yield s, parts | ({"counts": small(self.counts[xs])} if not d0 else {"q": q[rows][d[rows] == d0 + 1].astype(np.float32)})
+                yield s, parts | ({"counts": small(self.counts[x[a:b][new]])} if not d0 else {"q": q[a:b][d[a:b] == d0 + 1].astype(np.float32)})
 
     def apply(self, d0: int, d1: int, shards: int, replies: dict[int, bytes], shared: list, spread: int) -> None:
         """Scores the depths d0 < d <= d1 by the replies to requests(), and those about shared contexts."""
-        depths, shard, _, context, _, _, by_shard = self.places(d0, d1, shards)
-        n, total, flag = (np.zeros(len(by_shard), t) for t in (np.int64, np.int64, np.uint8))
-        cuts = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+        if not len(self.live):
+            return
+        j, d, context, row, shard, first = self.places(d0, d1, shards)
+        n, total, flag = (np.zeros(len(shard), t) for t in (np.int64, np.int64, np.uint8))
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
-                rows, reply = by_shard[a:b], unpack(replies[s])
-                n[rows], total[rows], flag[rows] = reply["n"], reply["total"].astype(np.int64)[reply["ci"]], reply["flag"][reply["ci"]]
+                reply = unpack(replies[s])
+                n[a:b], total[a:b], flag[a:b] = reply["n"], reply["total"].astype(np.int64)[reply["ci"]], reply["flag"][reply["ci"]]
         if (flag & 4).any():  # decided elsewhere
             known = {x["context"]: x for x in shared}
             for r in np.flatnonzero(flag & 4):
-                found = known[int(context[r].view(np.int64))]
+                found = known[int(context[first[r]].view(np.int64))]
                 total[r], flag[r] = found["total"], 2 | found["kept"]
         kept, grows = flag & 1 > 0, flag & 2 > 0
         open_ = np.ones(len(self.live), bool)
-        for d, (j, row) in zip(range(d0 + 1, d1 + 1), depths):
-            if d > d0 + 1:
-                still = open_[j]
-                open_[:] = False
-                j, row = j[still], row[still]
-                open_[j] = True
-            i, m = self.live[j], n[row]
-            self.q[j] = np.where(kept[row], np.log((m + PRIOR * np.exp(self.q[j])) / (total[row] + PRIOR)), self.q[j])
+        start = np.searchsorted(j, np.arange(len(self.live)))
+        j = np.arange(len(self.live))
+        for at in range(d1 - d0):
+            # the places that are still looked at at this depth, in order
+            i, r = self.live[j], row[start[j] + at]
+            m, t = n[r], total[r]
+            self.q[j] = np.where(kept[r], np.log((m + PRIOR * np.exp(self.q[j])) / (t + PRIOR)), self.q[j])
             # the context of one word more is what the place before asked for, if it did
             near = np.zeros(len(i), bool)
             near[1:] = np.diff(i) == 1
-            before = np.concatenate([np.zeros(1, np.int64), m[:-1]]) if len(m) else m
+            before = np.concatenate([np.zeros(1, np.int64), m[:-1]])
             seldom = near & (before < MIN_COUNT) | self.rare[i - 1]
-            self.rare[i[seldom | (total[row] < MIN_COUNT)]] = True
-            open_[:] = False
-            open_[j[grows[row] & ~seldom & (self.place[i] > d)]] = True
+            self.rare[i[seldom | (t < MIN_COUNT)]] = True
             self.k[j] = np.where(near, 1 + before // spread, self.k[j])
+            goes_on = grows[r] & ~seldom & (self.place[i] > d0 + 1 + at)
+            open_[j[~goes_on]] = False
+            j = j[goes_on]
+            if not len(j):
+                break
         shut = ~open_
         np.add.at(self.done, self.which[self.text[self.live[shut]]], self.q[shut])
         self.live, self.q, self.k = self.live[open_], self.q[open_], self.k[open_]
@@ -287,28 +283,29 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) ->
     asked = [(s, h, unpack(p)) for b in batches for s, h, p in zip(*[b.column(c).to_pylist() for c in ("slice", "shard", "payload")])]
     if not asked:
         return
-    parts = [a for _, _, a in asked]
+    parts, one = [a for _, _, a in asked], d1 == d0 + 1
     for a in parts:
-        a["word"] = np.cumsum(a["word"], dtype=np.uint64)
-        if d1 == d0 + 1:
-            a["xi"] = np.cumsum(a["xi"], dtype=np.int64)
+        a["word"], a["xi"] = np.cumsum(a["word"], dtype=np.uint64), np.cumsum(a["xi"], dtype=np.int64)
         if not d0:
             a["q"] = np.log((a["counts"].astype(np.int64) + 0.5) / norm)[a["xi"]]
     join = lambda f: np.concatenate([f(a) for a in parts])
     ends = np.cumsum([len(a["ci"]) for a in parts])
     c, x, n_all = join(lambda a: a["context"][a["ci"]]), mix(join(lambda a: a["word"][a["xi"]])), join(lambda a: a["n"].astype(np.int64))
-    depth = join(lambda a: a["d"]) if d1 > d0 + 1 else np.full(len(c), d1)
+    depth = np.full(len(c), d1) if one else join(lambda a: a["d"])
     suffix = np.zeros(len(c), np.int64)
     for a, end in zip(parts, ends):
-        if d1 > d0 + 1:
+        if not one:
             suffix[end - len(a["ci"]) : end][a["d"] > d0 + 1] = a["suffix"].astype(np.int64) + (end - len(a["ci"]))
     q_all = np.full(len(c), np.nan)
     q_all[depth == d0 + 1] = join(lambda a: a["q"])
     counts, names, totals, flags, sums = np.zeros(len(c), np.int64), [], [], [], []
-    many = join(lambda a: a["context"][a["k"] > 1])
-    before = None
-    for d in range(d0 + 1, d1 + 1):
-        mine = m = np.flatnonzero(depth == d)
+    many = join(lambda a: a["context"][a["k"] > 1]) if one else np.zeros(0, np.uint64)
+    resolved, by_depth = None if one else np.zeros(len(c)), np.argsort(depth, kind="stable")
+    cuts = np.searchsorted(depth[by_depth], np.arange(d0 + 1, d1 + 2))
+    for d, a, b in zip(range(d0 + 1, d1 + 1), cuts, cuts[1:]):
+        if a == b:
+            break
+        mine = m = by_depth[a:b]
         g, at, inv = distinct(gram(c[m], d, x[m]))
         n = np.bincount(inv, n_all[m], len(g)).astype(np.int64)
         counts[m] = n[inv]
@@ -316,15 +313,15 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) ->
         some, _, ctx = distinct(c[m])
         total, different = np.bincount(ctx, n, len(some)), np.bincount(ctx, n > 0, len(some))
         q = q_all[m]
-        if before is not None:
-            q = before[suffix[m]]
+        if d > d0 + 1:
+            q = resolved[suffix[m]]
         log_n = np.log(np.maximum(n, 1))
         nlogn, nq = np.bincount(ctx, n * log_n, len(some)), np.bincount(ctx, n * q, len(some))
         g2 = 2 * (nlogn - total * np.log(np.maximum(total, 1)) - nq)
         kept = (total >= MIN_COUNT) & (g2 >= critical(np.maximum(different - 1, 1))) & (g2 >= 2 * total * MIN_KL)
         logs = np.where(kept[ctx], np.log((n + PRIOR * np.exp(q)) / (total[ctx] + PRIOR)), q)
-        before = np.zeros(len(c))
-        before[mine] = logs[inv]
+        if not one:
+            resolved[mine] = logs[inv]
         grows = (total >= MIN_COUNT) & (most(n, logs, ctx, total) >= MIN_G2)
         shared = np.isin(some, many)
         names.append(some)
@@ -482,7 +479,8 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
 
     state = replied(counted, None, begin)
     d0, d1 = 0, 1
-    while state.agg(F.sum("live")).first()[0]:
+    live = size
+    while live:
 
         def ask(batches, d0=d0, d1=d1):
             for r in rows(batches):
@@ -508,7 +506,8 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
             asking = shared.select("context", F.explode("asked").alias("slice")).distinct()
             decided = asking.join(sums, "context").groupBy("slice").agg(F.collect_list(F.struct("context", "total", "kept")).alias("known"))
         state = replied(replies, decided, apply)
-        d0, d1 = d1, d1 + 1 if d1 < SINGLE else 4 * d1
+        live = state.agg(F.sum("live")).first()[0]
+        d0, d1 = d1, d1 + 1 if d1 < SINGLE else d1 + max(1, min(3 * d1, size // (2 * max(1, live))))
 
     def scores(batches):
         for r in rows(batches):
