@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,15 @@ SPARQL = {
     "order_nonprojected": "SELECT ?o { ?o orders:o_totalprice ?t } ORDER BY ?t ?o LIMIT 5",
     "offset_only": "SELECT ?c { ?c a row:Customer } ORDER BY ?c OFFSET 1490",
     "order_by_expr": "SELECT ?p ?n { ?p part:p_name ?n } ORDER BY LCASE(?n) ?p LIMIT 7",
+    "select_star": 'SELECT * { ?o orders:o_orderstatus "P" ; orders:customer ?c }',
+    "fn_isiri": "SELECT ?o { ?o orders:customer ?c ; orders:o_totalprice ?t FILTER(ISIRI(?c) && !ISIRI(?t)) }",
+    "fn_isblank": "SELECT ?o { ?o orders:customer ?c FILTER(!ISBLANK(?c)) }",
+    "fn_isliteral": "SELECT ?n ?name { ?n nation:n_name ?name ; nation:region ?r FILTER(ISLITERAL(?name) && !ISLITERAL(?r)) }",
+    "fn_datatype": "SELECT ?p ?z { ?p part:p_size ?z ; part:p_retailprice ?x FILTER(DATATYPE(?z) = xsd:integer && DATATYPE(?x) = xsd:double) }",
+    "fn_sameterm": 'SELECT ?p { ?p part:p_size ?z ; part:p_brand ?b FILTER(SAMETERM(?z, 15) || SAMETERM(?b, "Brand#4")) }',
+    "fn_langmatches": 'SELECT ?d { ?d documents:text ?t FILTER(LANGMATCHES(LANG(?t), "EN") || LANG(?t) = "de") }',
+    "filter_plus_divide": "SELECT ?o ?q { ?l lineitem:orders ?o ; lineitem:l_quantity ?q ; lineitem:l_extendedprice ?e ; lineitem:l_tax ?x FILTER(?e / ?q + ?x > 1900 && -?q < -10) }",
+    "optional_nested": "SELECT ?c ?o ?q { ?c customer:c_mktsegment \"BUILDING\" OPTIONAL { ?o orders:customer ?c ; orders:o_orderstatus \"F\" OPTIONAL { ?l lineitem:orders ?o ; lineitem:l_returnflag \"R\" ; lineitem:l_quantity ?q } } }",
     "conversation_star": 'SELECT ?c ?t { ?x conversations:role "user" ; conversations:conv_id ?c ; conversations:turn ?t }',
 }
 
@@ -123,6 +133,47 @@ def planned(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def planned_filter(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return engine(spark, sf_dir, planner=name).query(P + PLANNED_FILTER)
+
+    run.__doc__ = f"A path with filters before and after a join, planned by {name}."
+    return run
+
+
+PLANNED_FILTER = 'SELECT ?o ?name { ?o orders:customer ?c ; orders:o_totalprice ?t . ?c customer:c_acctbal ?ab ; customer:nation ?n . ?n nation:n_name ?name FILTER(?t > 200000) FILTER(?ab < ?t / 100) }'
+
+
+def replayed(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query by its own plan, sent through JSON."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, planner="idp")
+        return e.run_plan(json.loads(json.dumps(e.plan(P + text))), P + text)
+
+    run.__doc__ = text
+    return run
+
+
+def run_plan_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A federated query by its own plan, whose leaves name their sources."""
+    e, text = Engine(spark, halves(spark, sf_dir)), P + FEDERATED
+    return e.run_plan(json.loads(json.dumps(e.plan(text))), text)
+
+
+def per_source_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DISTINCT, filter, order and slice over the union of plans by source."""
+    return Engine(spark, halves(spark, sf_dir)).per_source(P + FEDERATED)
+
+
+def hybrid_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by statistics, and by asking where patterns have constants."""
+    return Engine(spark, halves(spark, sf_dir), selection="hybrid").query(P + FEDERATED)
+
+
+FEDERATED = 'SELECT DISTINCT ?seg ?s { ?o orders:o_orderstatus ?s ; orders:customer ?c . ?c customer:c_mktsegment ?seg FILTER(?s != "F") } ORDER BY ?seg ?s LIMIT 6'
+
+
 def predicate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of two predicates."""
     source = VirtualSource(spark, sf_dir)
@@ -159,6 +210,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: from_text(n)
     "planner_starbushy": planned("star-bushy"),
     "planner_idp": planned("idp"),
     "planner_random": planned("random"),
+    "planner_filter_leftdeep": planned_filter("left-deep"),
+    "planner_filter_starbushy": planned_filter("star-bushy"),
+    "planner_filter_idp": planned_filter("idp"),
+    "planner_filter_random": planned_filter("random"),
+    "run_plan_filter": replayed(SPARQL["filter_and_or_not"]),
+    "run_plan_optional": replayed(SPARQL["optional_two"]),
+    "run_plan_union": replayed(SPARQL["union_join"]),
+    "run_plan_federated": run_plan_federated,
+    "per_source_modifiers": per_source_modifiers,
+    "hybrid_selection": hybrid_selection,
     "predicate_stats": predicate_stats,
     "subject_authorities": subject_authorities,
     "answer_trace": trace,
@@ -222,4 +283,22 @@ SQL: dict[str, str] = {
     "latest_run_per_plan": "select user_id as u, event_type as k, event_id as e from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) rn from events) where rn = 1",
     "conversation_star": "select conv_id as c, turn as t from conversations where role='user'",
 }
+SQL |= {
+    "select_star": "select o_orderkey as o, o_custkey as c from orders where o_orderstatus = 'P'",
+    "fn_isiri": "select o_orderkey as o from orders where o_custkey is not null and o_totalprice is not null",
+    "fn_isblank": "select o_orderkey as o from orders where o_custkey is not null",
+    "fn_isliteral": "select n_nationkey as n, n_name as name from nation",
+    "fn_datatype": "select p_partkey as p, p_size as z from part where p_retailprice is not null",
+    "fn_sameterm": "select p_partkey as p from part where p_size = 15 or p_brand = 'Brand#4'",
+    "fn_langmatches": "select doc_id as d from documents where text is not null and lang in ('en', 'de')",
+    "filter_plus_divide": "select l_orderkey as o, l_quantity as q from lineitem where l_extendedprice / l_quantity + l_tax > 1900 and -l_quantity < -10",
+    "optional_nested": "select c_custkey as c, o_orderkey as o, q from customer left join (select o.o_orderkey, o.o_custkey from orders o where o_orderstatus = 'F') o on o_custkey = c_custkey left join (select l_orderkey, l_quantity as q from lineitem where l_returnflag = 'R') l on l_orderkey = o_orderkey where c_mktsegment = 'BUILDING'",
+    "planner_filter_leftdeep": "select o_orderkey as o, n_name as name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_totalprice > 200000 and c_acctbal < o_totalprice / 100",
+    "run_plan_filter": SQL["filter_and_or_not"],
+    "run_plan_optional": SQL["optional_two"],
+    "run_plan_union": SQL["union_join"],
+    "run_plan_federated": "select distinct c_mktsegment as seg, o_orderstatus as s from orders join customer on o_custkey = c_custkey where o_orderstatus <> 'F' order by 1, 2 limit 6",
+}
+SQL |= dict.fromkeys(("planner_filter_starbushy", "planner_filter_idp", "planner_filter_random"), SQL["planner_filter_leftdeep"])
+SQL |= dict.fromkeys(("per_source_modifiers", "hybrid_selection"), SQL["run_plan_federated"])
 SQL |= dict.fromkeys(("planner_starbushy", "planner_idp", "planner_random"), SQL["planner_leftdeep"])

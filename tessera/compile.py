@@ -11,7 +11,8 @@ from .algebra import Filter, Group, Optional, Query, Union
 from .functions import condition
 from .operators import distinct, inner_join, left_join, order, project, render, slice_rows
 from .plans.cost import optional_method
-from .plans.nodes import Join, Leaf, Plan, leaves
+from .plans.nodes import Leaf, Plan, leaves
+from .plans.planjson import PlanProblem
 from .sources.base import Federation, union
 from .terms import Pattern, Rel
 
@@ -51,14 +52,45 @@ def compile_plan(plan: Plan, sources: Federation, observe: list | None = None, f
     return out
 
 
+def basic_groups(g: Group) -> list[tuple[Pattern, ...]]:
+    """The patterns that are planned together, in the order in which Compiler.group() meets them."""
+    out, waiting = [], []
+
+    def flush() -> None:
+        if waiting:
+            out.append(tuple(dict.fromkeys(waiting)))
+            waiting.clear()
+
+    for e in g.elements:
+        if isinstance(e, Pattern):
+            waiting.append(e)
+        elif not isinstance(e, Filter):
+            flush()
+            for inner in e.groups if isinstance(e, Union) else [e.group if isinstance(e, Optional) else e]:
+                out += basic_groups(inner)
+    flush()
+    return out
+
+
 class Compiler:
-    """`plan` turns the patterns of a basic graph pattern into a plan."""
+    """`plan` turns the patterns of a basic graph pattern into a plan.
+
+    `given` has the trees of a plan that was edited or built by hand: each basic group takes the first that has its patterns.
+    `observe` gathers an observation for each join, in the order of the groups.
+    """
 
-    def __init__(self, sources: Federation, plan: Callable[[tuple[Pattern, ...]], Plan]):
-        self.sources, self.plan = sources, plan
+    def __init__(self, sources: Federation, plan: Callable[[tuple[Pattern, ...]], Plan], given: list[Plan] | None = None, observe: list | None = None):
+        self.sources, self.plan, self.given, self.observe = sources, plan, None if given is None else list(given), observe
 
     def pattern(self, patterns: list[Pattern]) -> Rel:
-        return compile_plan(self.plan(tuple(dict.fromkeys(patterns))), self.sources)
+        found = tuple(dict.fromkeys(patterns))
+        return compile_plan(self.plan(found) if self.given is None else self.take(found), self.sources, self.observe)
+
+    def take(self, patterns: tuple[Pattern, ...]) -> Plan:
+        at = next((i for i, p in enumerate(self.given) if {x for leaf in leaves(p) for x in leaf.patterns} == set(patterns)), None)
+        if at is None:
+            raise PlanProblem(f"the plan has no tree for the patterns {' '.join(map(str, patterns))}")
+        return self.given.pop(at)
 
     def group(self, g: Group) -> Rel:
         """Elements in order, filters over the whole group at its end."""
@@ -108,7 +140,10 @@ class Compiler:
         return optional_method(self.plan(left), self.plan(right))
 
     def query(self, q: Query, form: str = "native"):
-        return finish(self.group(q.body), q, form)
+        rel = self.group(q.body)
+        if self.given:
+            raise PlanProblem("the plan has trees for patterns that the query has not")
+        return finish(rel, q, form)
 
 
 def finish(rel: Rel, q: Query, form: str = "native"):

@@ -11,10 +11,10 @@ from ..algebra import Expr
 from ..functions import condition
 from ..terms import Rel
 
-#: A side is broadcast only if its tables can't hold more rows than this, whatever the query.
-BROADCAST_ROWS = 1_000_000
-#: An OPTIONAL's or join's hash side is hinted only up to this many rows; above, Spark decides.
-HASH_ROWS = 50_000_000
+#: A side is broadcast by hint only if its scan can't hold more bytes than this, whatever the query.
+BROADCAST_BYTES = 64 << 20
+#: A hash side is hinted up to this many bytes, above those of a broadcast; otherwise Spark decides.
+HASH_BYTES = 4 << 30
 
 
 def reconcile(left: Rel, right: Rel) -> tuple[Rel, Rel, bool]:
@@ -31,10 +31,10 @@ def reconcile(left: Rel, right: Rel) -> tuple[Rel, Rel, bool]:
 
 
 def hinted(df: DataFrame, rel: Rel, method: str | None) -> DataFrame:
-    """NLJ: the outer side's rows go to every task, if they are few for certain.  SHJ: a hash join."""
-    if method == "NLJ" and rel.bound is not None and rel.bound <= BROADCAST_ROWS:
+    """NLJ: the outer side's rows go to every task, if they are small for certain.  SHJ: a hash join, unless a side is small enough for that."""
+    if method == "NLJ" and rel.size is not None and rel.size <= BROADCAST_BYTES:
         return F.broadcast(df)
-    if method == "SHJ" and rel.bound is not None and rel.bound <= HASH_ROWS:
+    if method == "SHJ" and rel.size is not None and BROADCAST_BYTES < rel.size <= HASH_BYTES:
         return df.hint("shuffle_hash")
     return df
 
@@ -64,7 +64,9 @@ def inner_join(left: Rel, right: Rel, method: str | None = None) -> Rel:
     renamed, on, common = matching(left, right)
     if not possible:
         on = F.lit(False) if on is None else on & F.lit(False)
-    small_left = left.bound is not None and (right.bound is None or left.bound <= right.bound)
+    small_left = left.size is not None and (right.size is None or left.size <= right.size)
+    if method == "SHJ" and any(x.size is not None and x.size <= BROADCAST_BYTES for x in (left, right)):
+        method = None
     lhs = hinted(left.df, left, method) if small_left and on is not None else left.df
     rhs = hinted(renamed, right, method) if not small_left and on is not None else renamed
     df = lhs.crossJoin(rhs) if on is None else lhs.join(rhs, on)

@@ -7,18 +7,43 @@ import json
 import threading
 import time
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .compile import compile_plan, finish
 from .engine import Engine
-from .plans.nodes import joins
-from .plans.planjson import from_json, plan_hash, query_hash, to_json
+from .plans.nodes import NLJ, Leaf, Plan
+from .plans.planjson import plan_hash, query_hash, to_json, trees_from_json
+from .sources.base import INTERFACES
 
 CAP_S = 60
-SCHEMA = "run_id string, query_name string, query string, query_hash string, plan_hash string, plan string, sources array<string>, status string, t_start double, t_end double, t_delta double, result_count long, requests long, path string"
+#: An answer's time of arrival, in milliseconds, beside its variables.
+ARRIVED = "__arrived"
+SCHEMA = "run_id string, query_name string, query string, query_hash string, plan_hash string, plan string, sources array<string>, status string, t_start double, t_end double, t_delta double, result_count long, requests long, path string, error string"
+
+
+def interface_requests(trees: list[Plan], produced: dict[int, int]) -> int:
+    """Pages that are fetched of the leaves, and requests that bind the rows of an NLJ's other side, as joined."""
+    at, total = iter(range(10**9)), 0
+
+    def walk(p: Plan, fetched: bool = True) -> int:
+        nonlocal total
+        if isinstance(p, Leaf):
+            if fetched:
+                total += sum(ceil(max(p.cardinality, 1) / INTERFACES[k][1]) for k in p.kinds)
+            return p.cardinality
+        bind = p.op == NLJ and isinstance(p.right, Leaf)
+        left = walk(p.left)
+        walk(p.right, not bind)
+        if bind:
+            total += sum(ceil(left / INTERFACES[k][0]) for k in p.right.kinds)
+        return produced.get(next(at), p.cardinality)
+
+    for t in trees:
+        walk(t)
+    return total
 
 
 def produced(o, wait: float = 10.0) -> int:
@@ -41,8 +66,11 @@ class Runs:
     def submit(self, plan: dict, query: str, name: str = "", cap: float = CAP_S) -> str:
         """Runs a plan to its end or the cap, and records it; refused while the same plan of the query is running.
 
-        Statuses: done, timeout, failed.  The plan is recorded with the rows
-        that each join produced; a run that failed or was cut off has none.
+        Statuses: done, timeout, failed; `error` says why.  The plan is
+        recorded with the rows that each join produced; a run that failed or
+        was cut off has none.  Each answer is written with the time when it
+        came out of the plan; requests are what the sources' interfaces would
+        take for the rows that were joined.
         """
         q = self.engine.parse(query)
         key = plan_hash(plan) + query_hash(q)
@@ -51,7 +79,7 @@ class Runs:
                 raise RuntimeError("this plan is already running")
             self.reserved.add(key)
         run_id, start, out = uuid.uuid4().hex, time.time(), f"{self.path}/answers"
-        status, n, recorded, cut, over = "done", 0, plan, threading.Event(), threading.Event()
+        status, n, recorded, cut, over, error, requests = "done", 0, plan, threading.Event(), threading.Event(), None, None
         tag = f"run-{run_id}"
 
         def stop() -> None:
@@ -64,18 +92,19 @@ class Runs:
         self.spark.sparkContext.addJobTag(tag)
         try:
             timer.start()
-            tree = from_json(plan, self.engine.sources, q.prefixes)
+            trees = trees_from_json(plan, self.engine.sources, q.prefixes)
             seen: list = []
-            df = finish(compile_plan(tree, self.engine.sources, seen), q)
+            df = self.engine.run_plan(trees, q, observe=seen)
             out = f"{self.path}/answers/{run_id}"
-            df.write.mode("overwrite").parquet(out)
+            df.withColumn(ARRIVED, F.expr("cast(java_method('java.lang.System', 'currentTimeMillis') as long)")).write.mode("overwrite").parquet(out)
             n = self.spark.read.parquet(out).count()
             # a slice may end the joins early: what they counted is what they produced
-            recorded = to_json(tree, {i: produced(o) for i, (_, o) in enumerate(zip(joins(tree), seen))})
+            counts = {i: produced(o) for i, o in enumerate(seen)}
+            recorded, requests = to_json(trees, counts, len(self.engine.sources.sources) > 1), interface_requests(trees, counts)
             if cut.is_set():
-                raise TimeoutError
-        except Exception:
-            status = "timeout" if cut.is_set() else "failed"
+                raise TimeoutError(f"over {cap} seconds")
+        except Exception as e:
+            status, error = "timeout" if cut.is_set() else "failed", f"{type(e).__name__}: {e}"[:2000]
         finally:
             over.set()
             timer.cancel()
@@ -83,7 +112,7 @@ class Runs:
             with self.lock:
                 self.reserved.discard(key)
         end = time.time()
-        row = (run_id, name, query, query_hash(q), plan_hash(plan), json.dumps(recorded), [str(s) for s in self.engine.sources.sources.values()], status, start, end, end - start, n, len(joins(from_json(plan, self.engine.sources))) + 1, out if status == "done" else None)
+        row = (run_id, name, query, query_hash(q), plan_hash(plan), json.dumps(recorded), [str(s) for s in self.engine.sources.sources.values()], status, start, end, end - start, n, requests, out if status == "done" else None, error)
         self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
         return run_id
 
@@ -103,7 +132,13 @@ class Runs:
         return self.table.where(F.contains(F.lower("query_name"), F.lit(text.lower())))
 
     def answers(self, run_id: str) -> DataFrame:
-        return self.spark.read.parquet(self.get(run_id)["path"])
+        return self.spark.read.parquet(self.get(run_id)["path"]).drop(ARRIVED)
+
+    def trace(self, run_id: str) -> DataFrame:
+        """(seconds, n): answers of a run that had come by each time, from its begin."""
+        run = self.get(run_id)
+        each = self.spark.read.parquet(run["path"]).groupBy((F.col(ARRIVED) / 1000 - F.lit(run["t_start"])).alias("seconds")).agg(F.count("*").alias("k"))
+        return each.select("seconds", F.sum("k").over(W.orderBy("seconds")).alias("n"))  # a row a millisecond at most
 
     def other_plans(self, query: str) -> DataFrame:
         """The latest run of each different plan of a query."""

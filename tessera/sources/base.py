@@ -40,7 +40,10 @@ class Source:
         return self.cardinality(patterns, True)
 
     def authorities(self) -> DataFrame:
-        """(predicate, subjects, objects, n): hosts of subject and object IRIs, and triples, by predicate."""
+        """(predicate, subjects, objects, n): hosts of subject and object IRIs, and triples, by predicate.
+
+        Objects without a host count as the host "" if others have one.
+        """
         raise NotImplementedError
 
     def __str__(self) -> str:

@@ -46,4 +46,4 @@ class TripleSource(Source):
 
     def authorities(self) -> DataFrame:
         host = lambda c: F.try_parse_url(c, F.lit("HOST"))
-        return self.df.groupBy(F.col("p").alias("predicate")).agg(F.collect_set(host(F.col("s"))).alias("subjects"), F.collect_set(host(F.when(F.col("o.kind") == IRI, F.col("o.lex")))).alias("objects"), F.count("*").alias("n"))
+        return self.df.groupBy(F.col("p").alias("predicate")).agg(F.collect_set(host(F.col("s"))).alias("subjects"), F.collect_set(host(F.when(F.col("o.kind") == IRI, F.col("o.lex")))).alias("hosts"), F.bool_or(F.col("o.kind") != IRI).alias("others"), F.count("*").alias("n")).select("predicate", "subjects", F.when((F.size("hosts") > 0) & F.col("others"), F.array_append("hosts", F.lit(""))).otherwise(F.col("hosts")).alias("objects"), "n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from ..terms import LANG, NUMERIC, RDF_TYPE, TERM, XSD, Iri, Lit, Pattern, Rel,
 from .base import Source, union
 
 
+#: Bytes in memory for one in a file, at most.
+UNPACKED = 8
+
+
 def literal_equals(col: Column, dt: T.DataType, lit: Lit) -> Column:
     """Equality with a constant that the scan can push down; false where the types rule it out."""
     cls, never = vartype(dt).cls, F.lit(False)
@@ -168,15 +173,51 @@ class VirtualSource(Source):
         for c in conditions:
             df = df.where(c)
         out = df.select(*[c.alias(v) for v, (c, _) in columns.items()]) if columns else df.select()
-        return Rel(out, {v: k for v, (_, k) in columns.items()}, frozenset(columns), self.rows(t))
+        return Rel(out, {v: k for v, (_, k) in columns.items()}, frozenset(columns), self.rows(t), size=self.width(t, out.schema))
+
+    def width(self, t: TableMap, schema: T.StructType) -> int:
+        """Bytes at most of a scan's rows in memory: columns of fixed size by their rows, others by the table's files, unpacked."""
+        fixed = [f for f in schema if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+        whole = 0 if len(fixed) == len(schema) else UNPACKED * int(self.frame(t)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return self.rows(t) * 16 * (1 + len(fixed)) + whole
+
+    def object_term(self, t: TableMap, column: str) -> Column:
+        """What a column or link holds as a term; null where it is."""
+        col = t.links[column][0] if column in t.links else column
+        dt, kind, c = self.frame(t).schema[col].dataType, None, F.col(col)
+        if column in t.links:
+            target = t.links[column][1]
+            kind = VarType("key", (TABLES.get(target) or self.tables[target]).template)
+        elif column in t.langs:
+            kind, c = VarType("lang"), F.struct(c.alias("lex"), F.coalesce(F.col(t.langs[column]), F.lit("")).alias("lang")).cast(LANG)
+        else:
+            kind = vartype(dt)
+            c = c.cast("long") if kind.cls == "integer" else c.cast("double") if kind.cls == "double" else c if kind.cls != "string" or isinstance(dt, T.StringType) else F.to_json(F.struct(c))
+        return F.when(F.col(col).isNotNull(), to_term(c, kind, dt))
+
+    def every_predicate(self, t: TableMap, s: Var | Iri) -> DataFrame:
+        """(s, p, o) of a table in one scan, s only if it is a variable."""
+        df = self.frame(t)
+        if isinstance(s, Iri):
+            df = df.where(self.key_equals(df, t, t.key, s.value))
+        iri = lambda x: to_term(F.lit(x), VarType("iri"), T.StringType())
+        names = [c for c in df.columns if c not in t.hidden] + list(t.links)
+        each = [F.struct(iri(RDF_TYPE).alias("p"), iri(t.cls).alias("o")), *[F.struct(iri(t.predicate(c)).alias("p"), self.object_term(t, c).alias("o")) for c in names]]
+        key = self.key(t, t.key)
+        dt = df.schema[t.key[0]].dataType if len(t.key) == 1 else T.StructType([df.schema[c] for c in t.key])
+        subject = [to_term(key, VarType("key", t.template), dt).alias("s")] if isinstance(s, Var) else []
+        return df.select(*subject, F.explode(F.array(*each)).alias("x")).where("x.o is not null").select(*["s"] * len(subject), "x.p", "x.o")
 
     def any_predicate(self, p: Pattern) -> Rel:
-        """A variable predicate: the union over all that a table has, objects as terms."""
+        """A variable predicate: all that a table has, objects as terms.  With a variable object each table is read once."""
         same_so, same_sp, same_po = p.s == p.o, p.s == p.p, p.p == p.o
         branches = []
         for t in self.tables.values():
             if isinstance(p.s, Iri) and not p.s.value.startswith(t.template):
                 continue
+            if isinstance(p.o, Var):
+                branches.append(self.every_predicate(t, p.s))
+                continue
             df = self.frame(t)
             names = [c for c in df.columns if c not in t.hidden] + list(t.links)
             s = Var("s") if isinstance(p.s, Var) else p.s
@@ -233,12 +274,16 @@ class VirtualSource(Source):
         return reduce(DataFrame.unionAll, out)
 
     def authorities(self) -> DataFrame:
+        """Hosts as the mapping's templates have them; a column that holds nothing but nulls, or a link that does, has none."""
+        host = lambda iri: [h] if (h := urlsplit(iri).netloc) else []
         out = []
         for t in self.tables.values():
-            for c in [c for c in self.frame(t).columns if c not in t.hidden]:
-                out.append((t.predicate(c), ["ex.org"], [], self.rows(t)))
-            out += [(t.predicate(c), ["ex.org"], ["ex.org"], self.rows(t)) for c in t.links]
-            out.append((RDF_TYPE, ["ex.org"], ["ex.org"], self.rows(t)))
+            columns = [c for c in self.frame(t).columns if c not in t.hidden] + [col for col, _ in t.links.values()]
+            n = self.frame(t).agg(F.count("*").alias("rows"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+            of = {c: n[f"n{i}"] for i, c in enumerate(columns)}
+            out += [(t.predicate(c), host(t.template), [], of[c]) for c in self.frame(t).columns if c not in t.hidden and of[c]]
+            out += [(t.predicate(c), host(t.template), host((TABLES.get(target) or self.tables[target]).template), of[col]) for c, (col, target) in t.links.items() if of[col]]
+            out += [(RDF_TYPE, host(t.template), host(t.cls), n["rows"])] if n["rows"] else []
         df = self.spark.createDataFrame(out, "predicate string, subjects array<string>, objects array<string>, n long")
         return df.groupBy("predicate").agg(F.array_distinct(F.flatten(F.collect_list("subjects"))).alias("subjects"), F.array_distinct(F.flatten(F.collect_list("objects"))).alias("objects"), F.sum("n").alias("n"))
 

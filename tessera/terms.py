@@ -134,6 +134,8 @@ class Rel:
     #: rows at most, where known without running anything
     bound: int | None = None
     observed: list = field(default_factory=list)
+    #: bytes at most in memory, where known from the files; lost by whatever changes the rows' width
+    size: int | None = None
 
     def dt(self, v: str) -> T.DataType:
         return self.df.schema[v].dataType

@@ -9,9 +9,9 @@ from tessera.engine import Engine
 from tessera.parser import parse
 from tessera.plans import get_planner
 from tessera.plans.nodes import NLJ, SHJ, Join, Leaf, ordered, shared
-from tessera.plans.planjson import to_json
+from tessera.plans.planjson import PlanProblem, to_json
 from tessera.runs import Runs, bounds, decode_args, diefficiency, encode_args, to_sparql_json
-from tessera.sources import Federation, TripleSource, VirtualSource, read_ntriples, read_sparql_json, read_statistics
+from tessera.sources import Federation, TripleSource, VirtualSource, read_ntriples, read_sparql_json, read_statistics, read_turtle
 from tessera.streaming import stream_query
 
 PRE = "PREFIX v: <http://m.org/> "
@@ -212,3 +212,56 @@ def test_expressions(spark):
 def test_order_of_kinds(spark):
     e = Engine(spark, TripleSource(spark.createDataFrame([("http://x/1", "http://x/p", (1, "10", XSDS + "integer", "")), ("http://x/1", "http://x/p", (1, "9", XSDS + "integer", "")), ("http://x/1", "http://x/p", (0, "http://z", "", "")), ("http://x/1", "http://x/p", (2, "_:b", "", ""))], "s string, p string, o struct<kind:tinyint,lex:string,dt:string,lang:string>")))
     assert [r["o"] for r in e.query("SELECT ?o { ?s ?p ?o } ORDER BY ?o").collect()] == ["_:b", "http://z", "9", "10"]
+
+
+def test_plans_answer_their_queries(spark, sf):
+    """Every catalogue text by its own plan gives what the query gives: filters, OPTIONAL, UNION, modifiers, sources."""
+    from tessera import catalogue
+
+    e = Engine(spark, sf)
+    assert len(catalogue.SPARQL) > 40
+    for name, text in catalogue.SPARQL.items():
+        text = catalogue.P + text
+        want, got = e.query(text), e.run_plan(e.plan(text), text)
+        assert got.schema == want.schema, name
+        if "LIMIT" not in text.upper():
+            assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0, name
+
+
+def test_edited_plans(spark, sf, tmp_path):
+    e = Engine(spark, sf)
+    pre = "PREFIX o: <http://ex.org/orders#> PREFIX c: <http://ex.org/customer#> "
+    q = pre + 'SELECT ?o ?n { ?o o:customer ?c ; o:o_totalprice ?t FILTER(?t > 300000) OPTIONAL { ?c c:c_name ?n } }'
+    plan = e.plan(q)
+    assert plan["type"] == "Groups" and len(plan["groups"]) == 2
+    with pytest.raises(PlanProblem):
+        e.run_plan(plan["groups"][0], q)
+    with pytest.raises(PlanProblem):
+        e.run_plan(plan, pre + "SELECT * { ?o o:customer ?c }")
+    runs = Runs(e, str(tmp_path))
+    done = runs.get(runs.submit(plan, q))
+    assert done["status"] == "done" and done["error"] is None and done["result_count"] == e.query(q).count()
+    last = runs.trace(done["run_id"]).orderBy("seconds").collect()[-1]
+    assert last["n"] == done["result_count"] and 0 <= last["seconds"] <= done["t_delta"] + 1
+    failed = runs.get(runs.submit(plan["groups"][0], q))
+    assert failed["status"] == "failed" and "PlanProblem" in failed["error"]
+
+
+def test_federated_plans_name_their_sources(spark, sf):
+    e = Engine(spark, Federation.of(VirtualSource(spark, sf, "a"), VirtualSource(spark, sf, "b", tables={"customer": VirtualSource(spark, sf).tables["customer"]})))
+    q = "PREFIX o: <http://ex.org/orders#> PREFIX c: <http://ex.org/customer#> SELECT DISTINCT ?o ?n { ?o o:customer ?c . ?c c:c_name ?n FILTER(CONTAINS(?n, \"7\")) } ORDER BY ?o LIMIT 9"
+    want = e.query(q).collect()
+    assert e.run_plan(e.plan(q), q).collect() == want == e.per_source(q).collect() and len(want) == 9
+    with pytest.raises(PlanProblem):
+        e.run_plan({"type": "Leaf", "tpf": "?o <http://ex.org/orders#customer> ?c .", "sources": ["z"]}, "SELECT * { ?o <http://ex.org/orders#customer> ?c }")
+    hybrid = Engine(spark, e.sources, selection="hybrid")
+    assert hybrid.query(q).collect() == want
+
+
+def test_graph_files_read_escapes_once(spark, tmp_path):
+    (tmp_path / "a.nt").write_text('<http://x/1> <http://x/p> "a\\\\nb" .\n<http://x/2> <http://x/p> "\\u00e9\\t\\"\\U0001F600"@en .\n<http://x/3> <http://x/p> _:b .\n')
+    got = {r["s"]: r["o"] for r in read_ntriples(spark, str(tmp_path / "a.nt")).collect()}
+    assert got["http://x/1"]["lex"] == "a\\nb" and (got["http://x/2"]["lex"], got["http://x/2"]["lang"]) == ('é\t"\U0001f600', "en") and got["http://x/3"]["kind"] == 2
+    (tmp_path / "a.ttl").write_text('@prefix x: <http://x/> .\n# a comment with _:no\nx:1 a x:T ; x:p "a _:b", 5 , _:b .\nPREFIX y: <http://y/>\n_:b y:q "d"@en .\n')
+    rows = sorted((r["s"], r["p"].rsplit("/", 1)[1], r["o"]["kind"], r["o"]["lex"], r["o"]["lang"]) for r in read_turtle(spark, str(tmp_path / "a.ttl")).collect())
+    assert rows == sorted([("http://x/1", "22-rdf-syntax-ns#type", 0, "http://x/T", ""), ("http://x/1", "p", 1, "a _:b", ""), ("http://x/1", "p", 1, "5", ""), ("http://x/1", "p", 2, "_:b", ""), ("_:b", "q", 1, "d", "en")])
