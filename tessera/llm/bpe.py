@@ -11,13 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, worker_store
+from .common import cut, worker_store
 
 #: Where the vocabulary is; a rank file of lines "base64-token rank".
 VOCABULARY = os.environ.get("TESSERA_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of text that are encoded at once; a longer text is not cut.
+CHARS = 4_000_000
 #: Pre-tokens up to this many characters are remembered, in two generations of this many each.
 REMEMBER_CHARS, REMEMBER = 48, 400_000
+#: A space with white space behind it, as str.isspace() has it.
+BLANKS = r" [\t-\r\x1c-\x20\x{85}\pZ]"
 #: Ids of what isn't a token: the end of a pre-token, and a position merged into the one before it.
 SEPARATOR, GONE = 1 << 30, -1
 
@@ -114,7 +118,8 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.split = regex.compile(r" (?=\S)").split
         self.blanks = re.compile(r" \s").search
-        self.words, self.pieces = Memory(REMEMBER), Memory(REMEMBER // 2)
+        self.plain = pattern == PATTERN
+        self.words, self.pieces, self.table = Memory(REMEMBER), Memory(REMEMBER // 2), None
 
     def pair(self, a: int, b: int) -> int:
         if len(self.pairs) > 1_000_000:
@@ -187,12 +192,15 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Puts the ids of the words, which begin and end between pre-tokens, into memory."""
-        found = {w: self.find(w) for w in words}
-        fresh = {p for f in found.values() for p in f if not self.pieces.has(p)}
-        short = [p for p in fresh if (b := p.encode("utf-8", "surrogatepass")) not in self.ranks]
-        known = {p: np.int32(self.ranks[b]).tobytes() for p in fresh if (b := p.encode("utf-8", "surrogatepass")) in self.ranks}
-        if short:
-            known.update(zip(short, self.merge([p.encode("utf-8", "surrogatepass") for p in short])))
+        find, has = self.find, self.pieces.has
+        # letters of ASCII are one pre-token, with or without a space before them
+        found = {w: [w] if self.plain and w.isascii() and w[w[:1] == " " :].isalpha() else find(w) for w in words}
+        fresh = {p: p.encode("utf-8", "surrogatepass") for f in found.values() for p in f if not has(p)}
+        ranks = self.ranks
+        known = {p: ranks[b].to_bytes(4, "little") for p, b in fresh.items() if b in ranks}
+        if len(known) < len(fresh):
+            rest = {p: b for p, b in fresh.items() if p not in known}
+            known.update(zip(rest, self.merge(list(rest.values()))))
         get = self.pieces.new.get
         for w, f in found.items():
             self.words.new[w] = b"".join([known.get(p) or get(p) for p in f])
@@ -222,10 +230,60 @@ class Codec:
         self.pieces.turn()
         return out
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, how many each has); there are no nulls.  As encode(), with each different part looked up once."""
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        odd = np.asarray(pa.compute.match_substring_regex(texts, BLANKS))
+        if odd.any():
+            # a space before white space: those texts go one by one
+            coded = self.encode(texts.filter(pa.array(odd)).to_pylist())
+            flat, n = self.encode_column(texts.filter(pa.array(~odd)))
+            ends = np.cumsum(n)
+            regular, of, parts, total = iter(zip(ends - n, ends)), iter(coded), [], np.zeros(len(texts), np.int64)
+            for i, x in enumerate(odd):
+                part = np.frombuffer(next(of), np.int32) if x else flat[slice(*next(regular))]
+                total[i] = len(part)
+                parts.append(part)
+            return np.concatenate(parts), total
+        lists = pa.compute.split_pattern(texts, " ")
+        starts, flat = np.asarray(lists.offsets), lists.flatten().dictionary_encode()
+        key = np.asarray(flat.indices).astype(np.int64) * 2 + 1
+        key[starts[:-1]] -= 1  # all but a text's first part begin with the space before them
+        seen = np.zeros(2 * len(flat.dictionary), bool)
+        seen[key] = True
+        words = flat.dictionary.to_pylist()
+        parts = [" " + words[k >> 1] if k & 1 else words[k >> 1] for k in np.flatnonzero(seen).tolist()]
+        self.learn({w for w in parts if not self.words.has(w)})
+        ids = pa.array(map(self.words.new.__getitem__, parts), pa.large_binary())
+        for w in parts:
+            if len(w) > REMEMBER_CHARS:
+                del self.words.new[w]
+        self.words.turn()
+        self.pieces.turn()
+        out = ids.take(pa.array((np.cumsum(seen) - 1)[key]))
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.asarray(pa.compute.binary_length(out)) // 4)])
+        return np.frombuffer(joined(out), np.int32), np.diff(ends[starts])
+
+    def decode_column(self, flat: np.ndarray, n: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bytes of all texts end to end, how many each has)."""
+        if self.table is None:
+            self.table = pa.array(self.tokens, pa.large_binary())
+        out = self.table.take(pa.array(flat))
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.asarray(pa.compute.binary_length(out)))])
+        return joined(out), np.diff(ends[np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])])
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def joined(values: pa.Array) -> memoryview | bytes:
+    """The bytes of large binary or string values, end to end."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    return memoryview(data)[at[0] : at[-1]] if data is not None and len(values) else b""
+
+
 def codec(path: str = VOCABULARY, pattern: str = PATTERN) -> Codec:
     store = worker_store("bpe")
     if (path, pattern) not in store:
@@ -246,19 +304,20 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocab
 
     def run(batches):
         c = codec(vocabulary, pattern)
-        for part, texts in chunks(batches, 1):
-            ready = iter(c.encode([t for t in texts if t is not None]))
-            coded = [None if t is None else next(ready) for t in texts]
-            flat = np.frombuffer(b"".join(x for x in coded if x), np.int32)
-            missing = np.array([x is None for x in coded])
-            n = np.array([0 if x is None else len(x) // 4 for x in coded], dtype=np.int64)
-            raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-            ids, at, ok = flat.tolist(), 0, []
-            for x, b in zip(n.tolist(), raw):
-                ok.append(None if b is None else c.decode(ids[at : at + x]) == b)
-                at += x
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]).astype(np.int32)), pa.array(flat), mask=pa.array(missing))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n.astype(np.int32), mask=missing), pa.array([None if b is None else len(b) for b in raw], pa.int64()), pa.array(ok, pa.bool_())], names=["doc_id", "token_ids", "n_tokens", "n_bytes", "round_trip"])
+        for part in (p for b in batches for p in cut(b, 1, CHARS)):
+            has = np.asarray(part.column(1).is_valid())
+            texts = part.column(1).drop_null()
+            flat, some = c.encode_column(texts)
+            back, sizes = c.decode_column(flat, some)
+            size, raw = np.asarray(pa.compute.binary_length(texts)).astype(np.int64), joined(texts.cast(pa.large_string()))
+            same = sizes == size
+            if not same.all() or bytes(back) != bytes(raw):
+                a, b = np.cumsum(sizes), np.cumsum(size)
+                same = np.array([back[x - n : x] == raw[y - m : y] for x, n, y, m in zip(a, sizes, b, size)], bool)
+            n, n_bytes, ok = np.zeros(len(has), np.int64), np.zeros(len(has), np.int64), np.zeros(len(has), bool)
+            n[has], n_bytes[has], ok[has] = some, size, same
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]).astype(np.int32)), pa.array(flat), mask=pa.array(~has))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n.astype(np.int32), mask=~has), pa.array(n_bytes, mask=~has), pa.array(ok, mask=~has)], names=["doc_id", "token_ids", "n_tokens", "n_bytes", "round_trip"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens int, n_bytes long, round_trip boolean")
 
