@@ -124,9 +124,13 @@ def flag(rows: DataFrame, c: Cascade, key: Column, name: str = "listed", *, broa
 
     Exact for keys of the cascade's universe.  Without a join: each row is
     looked up where it is, or, if the filters are too large to send to every
-    worker, where its shard's filters are.
+    worker, where its shard's filters are, as a stream behind them; rows with
+    a null key stay where they are.  Repeated rows are flagged alike; an empty
+    table stays empty.  A column of `rows` named `name`, in any case, is
+    replaced.
     """
-    packed = rows.select(*Cascade.hashes(key), key.isNull().alias("none"), F.struct(*[F.col(f"`{x}`") for x in rows.columns]).alias("row"))
+    names = [x for x in rows.columns if x.lower() != name.lower()]
+    packed = rows.select(*Cascade.hashes(key), key.isNull().alias("none"), F.struct(*[F.col(f"`{x}`") for x in names]).alias("row"))
     packed = packed.withColumn("shard", F.pmod("h1", F.lit(c.shards)).cast("int"))
     out_schema = packed.withColumn("listed", F.lit(True)).select("row", "listed").schema
 
@@ -155,9 +159,27 @@ def flag(rows: DataFrame, c: Cascade, key: Column, name: str = "listed", *, broa
         done = packed.mapInArrow(here, out_schema)
     else:
 
-        def there(left: pa.Table, right: pa.Table) -> pa.Table:
-            filters = levels(zip(*[right.column(x).to_pylist() for x in ("shard", "level", "m", "k", "bits")]))
-            return pa.table({"row": left.column("row"), "listed": pa.array(look(left, filters))})
+        # a shard's filters come first, then its rows, however many
+        blank = lambda c, t: F.lit(None).cast(t).alias(c)
+        row_type, filter_types = packed.schema["row"].dataType, [(f.name, f.dataType) for f in c.table.schema if f.name != "shard"]
+        first = c.table.select("shard", F.lit(0).alias("kind"), *[F.col(x) for x, _ in filter_types], blank("h1", "long"), blank("h2", "long"), blank("none", "boolean"), blank("row", row_type))
+        then = packed.where("not none").select("shard", F.lit(1).alias("kind"), *[blank(x, t) for x, t in filter_types], "h1", "h2", "none", "row")
 
-        done = packed.groupBy("shard").cogroup(c.table.groupBy("shard")).applyInArrow(there, out_schema)
+        def there(batches):
+            at, records, filters = None, [], {}
+            for b in batches:
+                shard, kind = np.asarray(b.column("shard")), np.asarray(b.column("kind"))
+                new = np.flatnonzero(np.diff(shard.astype(np.int64) * 2 + kind, prepend=-1))
+                for s, e in zip(new, [*new[1:], b.num_rows]):
+                    part = b.slice(s, e - s)
+                    if shard[s] != at:
+                        at, records = shard[s], []
+                    if not kind[s]:
+                        records += zip(*[part.column(x).to_pylist() for x in ("shard", "level", "m", "k", "bits")])
+                        filters = levels(records)
+                    else:
+                        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(look(part, filters if records else {}))], names=["row", "listed"])
+
+        sorted_ = first.unionByName(then).repartition(c.shards, "shard").sortWithinPartitions("shard", "kind")
+        done = sorted_.mapInArrow(there, out_schema).unionByName(packed.where("none").select("row", F.lit(False).alias("listed")))
     return done.select("row.*", F.col("listed").alias(name))
