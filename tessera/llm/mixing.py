@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import same, seeded_unit
+from .common import Scratch, same, seeded_unit
 
 MAX_EPOCHS = 4.0
 SEED = 17
+#: The table of sources is broadcast up to this many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def source_epochs(docs: DataFrame, weights: Mapping[str, float] | None = None, *, source: str = "source", text: str = "text", budget: float | None = None, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -64,12 +66,18 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, doc_id:
     the seeded hash of its id is below 0.3.  Repeated rows and equal or null
     ids are decided alike, each row by its own id.  Other columns pass through
     unchanged, whatever their names; `copy` names an optional column that
-    numbers the repetitions from 0.  An empty table gives an empty table.
+    numbers the repetitions from 0, and replaces one of that name, in any
+    case.  An empty table gives an empty table.
     """
+    scratch = Scratch(docs.sparkSession, "mixing")
     e = source_epochs(docs, weights, source=source, text=text, budget=budget, max_epochs=max_epochs).select(F.col("source").alias("s"), F.col("epochs").alias("e"))
-    rows = docs.select(F.col(source).alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), seeded_unit(seed, F.col(doc_id)).alias("u"))
+    e = scratch.save(e)
+    # a row for each source: sent to the rows while that is small, so that no text is shuffled by source
+    count, size = e.agg(F.count("*"), F.sum(F.coalesce(F.octet_length(F.col("s").cast("string")), F.lit(0)) + 64)).first()
+    e = F.broadcast(e) if not count or size <= BROADCAST_BYTES else e
+    names = [c for c in docs.columns if copy is None or c.lower() != copy.lower()]
+    rows = docs.select(F.col(source).alias("source"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), seeded_unit(seed, F.col(doc_id)).alias("u"))
     whole = F.floor(F.col("e"))
     times = (whole + F.when(F.col("u") < F.col("e") - whole, 1).otherwise(0)).cast("int")
-    # Sources are few against documents; Spark broadcasts their table while it is below its threshold and sorts otherwise.
     out = rows.join(e, same(F.col("source"), F.col("s"))).withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
     return out.select("row.*", *([F.col("copy").alias(copy)] if copy else []))
