@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from dataclasses import dataclass, replace
@@ -152,25 +153,57 @@ def calibrate(model: Model, best: list[tuple[int, float]]) -> Model:
     return replace(model, k=min(1.0, float((r + 1) / mass[at])), rate=float(rates[at]))
 
 
+@functools.cache
+def sum_tail(r: int) -> tuple[np.ndarray, np.ndarray]:
+    """(t, ln P(T >= t)) for the sum T of the r best scores, each less its rate, of a clean text.
+
+    Those are -ln of the first r arrivals of a Poisson process of rate 1.  Given the r-th, g, the others are uniform below it, so
+    T = -r ln g + a Gamma variable of shape r - 1, and g has one of shape r: an integral over ln g.
+    """
+    t = np.arange(0.0, 401.0)
+    u = np.linspace(-(t[-1] + 60) / r, math.log(r + 12 * math.sqrt(r) + 40), 1500)
+    weight = r * u - np.exp(u) - math.lgamma(r) + math.log(u[1] - u[0])
+    out = np.empty(len(t))
+    for i, at in enumerate(t):
+        x = np.maximum(at + r * u, 0)
+        log_x = np.log(np.maximum(x, 1e-300))
+        term = total = -x
+        for k in range(1, r - 1):
+            term = term + log_x - math.log(k)
+            total = np.logaddexp(total, term)
+        v = weight + np.minimum(total, 0)
+        out[i] = min(0.0, float(v.max() + np.log(np.exp(v - v.max()).sum())))
+    return t, out
+
+
+def log_tail(r: int, t: float) -> float:
+    if r == 1:
+        return math.log(-math.expm1(-math.exp(-t))) if t < 30 else -t
+    at, known = sum_tail(r)
+    if t >= at[-1]:
+        return float(known[-1]) - (t - at[-1]) + (r - 1) * math.log(t / at[-1])
+    return float(np.interp(t, at, known))
+
+
 def p_value(best: list[float], n: int, k: float, rate: float = 1.0) -> float:
     """Of a text of n tokens, from its segments' scores in falling order.
 
-    The best of a clean text exceeds s about K n e^(-lambda s) times, with
-    the rate lambda.  For the r best together, T = sum(lambda s - ln K n) has the tail e^-T T^(r-1) / (r! (r-1)!); r is chosen
-    per text, and 2^-r is its weight.
+    The scores of a clean text exceed s about K n e^(-lambda s) times, with the rate lambda.  So one that is expected more than
+    once (lambda s <= ln K n) is no evidence, nor are those after it.  Of the others the best one, two, ... are tested together
+    by their sum, up to 12, and then each time a third more; the i-th test weighs 2^-i.
     """
     if not best or n <= 0:
         return 1.0
-    p, t, log_kn = 1.0, 0.0, math.log(k * n)
+    least, t, log_kn, tests, due = 0.0, 0.0, math.log(k * n), 0, 1
     for r, s in enumerate(best, 1):
-        t += rate * s - log_kn
-        if t <= 0:
-            break
-        tail = 1 - math.exp(-math.exp(-t)) if r == 1 else math.exp(-t + (r - 1) * math.log(t) - math.lgamma(r + 1) - math.lgamma(r))
-        p = min(p, tail * 2.0**r)
-        if r == 50:  # 2^-r has made more of them useless long before
+        more = rate * s - log_kn
+        if more <= 0:
             break
-    return min(p, 1.0)
+        t += more
+        if r == due:
+            tests, due = tests + 1, r + 1 if r < 12 else r + r // 3
+            least = min(least, log_tail(r, t) + tests * math.log(2))
+    return math.exp(least)
 
 
 def judge(text: str, model: Model, alpha: float) -> tuple[int, float, list[tuple[int, int, float]]]:
@@ -263,7 +296,9 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, *, per_class: int = TRAI
     in tokens, each significant by itself (several weak ones may reject a
     document together, which then has none listed).  Null and empty texts are
     never rejected; repeated rows are judged alike, each by itself.  Whole
-    texts are scored, in one pass without a shuffle.
+    texts are scored, in one pass without a shuffle.  Of segments with equal
+    scores all count, in whatever order.  An empty table of documents gives no
+    rows; without labels of both classes nothing is rejected.
     """
     return score(docs, train(docs, labels, per_class=per_class), alpha=alpha)
 
