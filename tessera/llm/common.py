@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import pickle
 import sys
@@ -32,6 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: rows may hold long texts, so their number says little.
+BATCH = "8m"
+
+
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, size: str = BATCH):
+    """Arrow batches of at most `size` for what is planned within."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written under the shared folder, which cut lineage and outlive executors.
 
@@ -46,7 +63,8 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with batch_bytes(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -97,9 +115,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def cut(b: pa.RecordBatch, text_at: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about `size` bytes of text each; a longer text is a slice of its own, never cut."""
+    """Slices of a batch that hold about the same, at most about `size` bytes of text; a longer text is a slice of its own, never cut."""
     total = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(text_at)), 0)).cumsum(dtype=np.int64)
     at = 0
+    if b.num_rows:
+        size = 1 + int(1.05 * total[-1] / max(1, -(-int(total[-1]) // size)))
     while at < b.num_rows:
         base = total[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(total, base + size, side="right")))

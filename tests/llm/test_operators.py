@@ -305,6 +305,9 @@ def test_cascade_is_exact(spark):
     empty = cascade.cascade(keys, listed.limit(0))
     assert cascade.flag(df, empty, cascade.url_key(F.col("url"))).where("listed").count() == 0
     assert cascade.flag(df.limit(0), c, cascade.url_key(F.col("url"))).count() == 0
+    for limit in (0, 1 << 20):
+        clash = cascade.flag(df.withColumn("Listed", F.lit("old")).withColumn("shard", F.lit(1)), c, cascade.url_key(F.col("url")), broadcast_bytes=limit)
+        assert sorted(clash.columns) == sorted([*df.columns, "shard", "listed"]) and clash.count() == df.count()
 
 
 # -- 7
@@ -412,6 +415,8 @@ def test_mixing_rows(spark):
         assert count[i, t] in (n * math.floor(e[s]), n * math.ceil(e[s]))
     assert plain(mixing.mix(df)) == plain(mixing.mix(df)) and mixing.mix(awkward(spark, True)).count() == 0
     assert mixing.mix(df, {"s1": 0.0}).count() == 0
+    clash = mixing.mix(df.withColumn("Copy", F.lit("old")), copy="copy")
+    assert clash.columns == [*df.columns, "copy"] and plain(clash) == plain(out)
 
 
 # -- 9
@@ -634,6 +639,22 @@ def test_words_tree_scores_other_texts(spark):
 # -- 9, calibration
 
 
+def test_p_values_have_no_bound_of_segments():
+    """Every segment may count, and p-values of clean texts are as rare as they say."""
+    assert toxicity.p_value([3.0] * 3000, 10_000, 0.001) < 1e-300 < toxicity.p_value([3.0] * 40, 10_000, 0.001) < 1e-20
+    assert toxicity.p_value([2000.0], 100, 0.1) == 0 and toxicity.p_value([], 9, 1) == toxicity.p_value([1.0], 0, 1) == 1
+    rng, n, k, rate = np.random.default_rng(7), 500, 0.05, 1.2
+    # segments of a clean text: K n of them, falling off at the rate
+    found = [np.sort(rng.exponential(1 / rate, rng.poisson(k * n)))[::-1].tolist() for _ in range(20_000)]
+    p = np.array([toxicity.p_value(x, n, k, rate) for x in found])
+    for a in (0.1, 0.01, 0.001):
+        assert a / 5 - 4e-4 <= (p <= a).mean() <= a + 4e-4
+    # the sum of the five best alone
+    sums = np.array([sum(rate * s - math.log(k * n) for s in x[:5]) for x in found if len(x) >= 5])
+    for t in (0.0, 3.0):
+        assert math.exp(toxicity.log_tail(5, t)) == pytest.approx((sums >= t).mean(), rel=0.15)
+
+
 def test_toxic_calibration_is_fitted(spark):
     m = toxicity.Model({"vile": 6.0}, {}, -1.0, 1.0)
     rng = np.random.default_rng(1)
