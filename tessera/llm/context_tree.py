@@ -24,6 +24,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(w)) for w in (b" begin", b" end"))
 #: Characters of text in a slice; words that a task of the counting side gets; occurrences beyond which a context has several tasks.
 CHARS, WORDS, SPREAD = 4_000_000, 2_000_000, 1 << 20
+#: Bytes of slices for each task that gets their answers.
+STATE = 6_000_000
 #: Depths that are settled one by one; after that, blocks go up to four times as deep as before, by as many as half the words.
 SINGLE = 4
 REPLY = "slice long, shard int, payload binary, context long, total long, different long, nlogn double, nq double, asked array<long>"
@@ -402,10 +404,11 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
         other = used(train_on.withColumn(doc_id, F.lit(None).cast(kind)), True, False)
         state = scratch.save(used(docs, False, True).mapInArrow(tokenise, columns).unionByName(other.mapInArrow(tokenise, columns).withColumn("slice", -1 - F.col("slice"))))
     slices, size = state.agg(F.count("*"), F.coalesce(F.sum("live"), F.lit(0))).first()
-    shards, parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / WORDS)), max(1, math.ceil(slices / 2))
+    least = spark.sparkContext.defaultParallelism
+    shards, parts = max(least, math.ceil(size / WORDS)), max(1, math.ceil(slices / 2))
 
-    def exchange(ask, answer) -> DataFrame:
-        out = state.mapInArrow(ask, "slice long, shard int, payload binary").repartitionById(shards, F.col("shard")).mapInArrow(answer, REPLY)
+    def exchange(ask, answer, n: int) -> DataFrame:
+        out = state.mapInArrow(ask, "slice long, shard int, payload binary").repartitionById(n, F.col("shard")).mapInArrow(answer, REPLY)
         saved = scratch.save(out)
         tidy(spark)
         return saved
@@ -462,7 +465,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
             for h in np.unique(shard):
                 yield message(r["slice"], int(h), pack(word=words[shard == h], n=small(count[shard == h])))
 
-    counted = exchange(ask_words, tally)
+    counted = exchange(ask_words, tally, shards)
     different, total = counted.where("slice is null").agg(F.coalesce(F.sum("different"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     norm = float(total + 0.5 * (different + 1))  # one more for what was never seen
 
@@ -482,22 +485,25 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     live = size
     while live:
 
-        def ask(batches, d0=d0, d1=d1):
+        # as many tasks as what is still open asks for
+        some = min(shards, max(least, math.ceil(2 * live * (d1 - d0) / WORDS)))
+
+        def ask(batches, d0=d0, d1=d1, some=some):
             for r in rows(batches):
                 if r["live"]:
-                    for h, a in Slice.load(r["n"], r["state"], spread).requests(d0, d1, shards):
+                    for h, a in Slice.load(r["n"], r["state"], spread).requests(d0, d1, some):
                         if not r["counted"]:
                             a["n"] = np.zeros_like(a["n"])
                         yield message(r["slice"], h, pack(**a))
 
-        def apply(r, payloads, known, d0=d0, d1=d1):
+        def apply(r, payloads, known, d0=d0, d1=d1, some=some):
             if not r["live"]:
                 return r["state"], 0
             s = Slice.load(r["n"], r["state"], spread)
-            s.apply(d0, d1, shards, payloads, known, spread)
+            s.apply(d0, d1, some, payloads, known, spread)
             return s.save(), len(s.live)
 
-        replies = exchange(ask, lambda batches, d0=d0, d1=d1: settle(batches, d0, d1, norm))
+        replies = exchange(ask, lambda batches, d0=d0, d1=d1: settle(batches, d0, d1, norm), some)
         shared = replies.where("slice is null")
         decided = None
         if shared.limit(1).count():
@@ -506,7 +512,8 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
             asking = shared.select("context", F.explode("asked").alias("slice")).distinct()
             decided = asking.join(sums, "context").groupBy("slice").agg(F.collect_list(F.struct("context", "total", "kept")).alias("known"))
         state = replied(replies, decided, apply)
-        live = state.agg(F.sum("live")).first()[0]
+        live, n_bytes = state.agg(F.sum("live"), F.sum(F.octet_length("state"))).first()
+        parts = min(parts, max(least, math.ceil(n_bytes / STATE)))
         d0, d1 = d1, d1 + 1 if d1 < SINGLE else d1 + max(1, min(3 * d1, size // (2 * max(1, live))))
 
     def scores(batches):

@@ -45,8 +45,18 @@ def test_range_join_is_exact(spark):
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     for least in (0.96, 0.5):
         want = {(i, j) for i, j in zip(*np.nonzero(np.triu(y @ y.T >= least, 1)))}
-        got = metric_join.range_join(df, min_cosine=least, cell=25).collect()
-        assert len(got) == len(set(got)) and {(r[0], r[1]) for r in got} == want and want
+        # one level of cells; several, with pivots sent or waiting where the rows come
+        for how in ({"cell": 25}, {"cell": 10, "fan": 3}, {"cell": 10, "fan": 3, "broadcast_bytes": 0}):
+            got = metric_join.range_join(df, min_cosine=least, **how).collect()
+            assert len(got) == len(set(got)) and {(r[0], r[1]) for r in got} == want and want
+
+
+def test_range_join_takes_equal_vectors(spark):
+    """A cell of equal vectors can't be split: all its pairs are results, and at a bound of 1, too."""
+    rows = [(i, [0.1, 0.2, 0.3]) for i in range(30)] + [(100 + i, [math.cos(i), math.sin(i), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in metric_join.range_join(df, min_cosine=1.0, cell=4, fan=3).collect()}
+    assert got == {(i, j) for i in range(30) for j in range(i + 1, 30)}
 
 
 def test_range_join_awkward(spark):
@@ -519,13 +529,14 @@ def test_repeats_are_verified(spark):
     texts = {i: [f"w{rng.randrange(900)}" for _ in range(25)] + (passage if i % 5 == 0 else []) for i in range(40)}
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
     _, at = brute_spans(texts, k)
-    before = set(at)
+    # what isn't of the passage stays everywhere, and the passage once
+    stays = {g for g in at if not set(g) & set(passage) or set(g) <= set(passage)}
     for mask in (0xFF, 0xFFFFFFFF):
         cut = [(r["doc_id"], a, b) for r in debruijn.repeated_spans(df, k=k, mask=mask).collect() for a, b in r["cuts"]]
         assert all(at[tuple(texts[i][j : j + k])] > 1 for i, a, b in cut for j in range(a, b - k + 1))
         left = {tuple(w[j : j + k]) for r in debruijn.drop_repeats(df, k=k, mask=mask).collect() for w in [r["text"].split()] for j in range(len(w) - k + 1)}
-        assert before <= left or mask == 0xFFFFFFFF
-    assert len(cut) == 7 and {g for g in before if at[g] == 1 and not set(g) & set(passage)} <= left
+        assert stays <= left
+    assert len(cut) == 7
 
 
 def test_repeats_take_repeated_names(spark):
