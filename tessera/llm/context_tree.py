@@ -141,7 +141,7 @@ class Slice:
 
     def places(self, d0: int, d1: int, shards: int):
         """(which of `live`, depth, row) of every place and depth that is asked for, depths of a place one after another; and of
-        all rows the shard and the first that asks.  Rows are in order of shards, and of words in them.
+        all rows the shard and the first that asks.  Rows are in order of shards, and in them of words, or, in a block of several depths, of places.
 
         All contexts that extend one of depth d0 + 1 go to one shard, unless that is shared by several.
         """
@@ -161,8 +161,14 @@ class Slice:
         new = runs(key[order], c[order], d[order])
         row = np.empty(len(order), np.int64)
         row[order] = np.cumsum(new) - 1
-        first = order[new]
-        return j, d, c, row, home[j[first]].astype(np.int64), first
+        first = np.minimum.reduceat(order, np.flatnonzero(new))
+        shard = home[j[first]].astype(np.int64)
+        if not one:  # rows of a place follow each other, so that the words before it compress
+            by = np.lexsort((first, shard))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            row, first, shard = rank[row], first[by], shard[by]
+        return j, d, c, row, shard, first
 
     def requests(self, d0: int, d1: int, shards: int) -> Iterator[tuple[int, dict]]:
         """What to ask for the depths d0 < d <= d1: (shard, message)."""
@@ -173,21 +179,25 @@ class Slice:
         n = np.bincount(row)
         # a row's suffix is the row of the same place at the depth before
         suffix, d, c, j = row[first - 1], d[first], c[first], j[first]
-        x, q, k = self.x[self.live[j]], self.q[j], self.k[j]
+        i = self.live[j]
+        x, q, k, left = self.x[i], self.q[j], self.k[j], self.x[i - d]
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
+            if a == b:
+                continue
+            if one:
                 contexts, at, ci = distinct(c[a:b])
                 new = runs(x[a:b])
-                xi = np.cumsum(new) - 1
-                parts = {"context": contexts, "ci": small(ci), "word": small(np.diff(self.words[x[a:b][new]], prepend=0)), "xi": small(np.diff(xi, prepend=0)), "n": small(n[a:b])}
-                if one:
-                    parts["k"] = small(k[a:b][at])
-                else:
-                    deep = d[a:b] > d0 + 1
-                    parts |= {"d": small(d[a:b]), "suffix": small(suffix[a:b][deep] - a)}
-                # at depth 0 a word's q follows from its count
-                yield s, parts | ({"counts": small(self.counts[x[a:b][new]])} if not d0 else {"q": q[a:b][d[a:b] == d0 + 1].astype(np.float32)})
+                parts = {"context": contexts, "ci": small(ci), "k": small(k[a:b][at]), "xi": small(new)}
+                words = x[a:b][new]
+            else:
+                # but for the first depth, a context is its suffix and a word before it
+                words, xi = np.unique(np.concatenate([x[a:b], left[a:b]]), return_inverse=True)
+                top = d[a:b] == d0 + 1
+                parts = {"context": c[a:b][top], "d": small(d[a:b] - d0), "suffix": small((np.arange(a, b) - suffix[a:b])[~top]), "xi": small(xi[: b - a]), "left": small(xi[b - a :][~top])}
+            parts |= {"word": small(np.diff(self.words[words], prepend=0)), "n": small(n[a:b])}
+            # at depth 0 a word's q follows from its count
+            yield s, parts | ({"counts": small(self.counts[words])} if not d0 else {"q": q[a:b][d[a:b] == d0 + 1].astype(np.float32)})
 
     def apply(self, d0: int, d1: int, shards: int, replies: dict[int, bytes], shared: list, spread: int) -> None:
         """Scores the depths d0 < d <= d1 by the replies to requests(), and those about shared contexts."""
@@ -199,7 +209,8 @@ class Slice:
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
                 reply = unpack(replies[s])
-                n[a:b], total[a:b], flag[a:b] = reply["n"], reply["total"].astype(np.int64)[reply["ci"]], reply["flag"][reply["ci"]]
+                of = reply["ci"] if d1 == d0 + 1 else slice(None)
+                n[a:b], total[a:b], flag[a:b] = reply["n"], reply["total"].astype(np.int64)[of], reply["flag"][of]
         if (flag & 4).any():  # decided elsewhere
             known = {x["context"]: x for x in shared}
             for r in np.flatnonzero(flag & 4):
@@ -287,20 +298,27 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) ->
         return
     parts, one = [a for _, _, a in asked], d1 == d0 + 1
     for a in parts:
-        a["word"], a["xi"] = np.cumsum(a["word"], dtype=np.uint64), np.cumsum(a["xi"], dtype=np.int64)
+        a["word"] = mix(np.cumsum(a["word"], dtype=np.uint64))
+        a["rows"] = len(a["n"])
+        if one:
+            a["xi"] = np.cumsum(a["xi"], dtype=np.int64) - 1
         if not d0:
             a["q"] = np.log((a["counts"].astype(np.int64) + 0.5) / norm)[a["xi"]]
     join = lambda f: np.concatenate([f(a) for a in parts])
-    ends = np.cumsum([len(a["ci"]) for a in parts])
-    c, x, n_all = join(lambda a: a["context"][a["ci"]]), mix(join(lambda a: a["word"][a["xi"]])), join(lambda a: a["n"].astype(np.int64))
-    depth = np.full(len(c), d1) if one else join(lambda a: a["d"])
-    suffix = np.zeros(len(c), np.int64)
-    for a, end in zip(parts, ends):
-        if not one:
-            suffix[end - len(a["ci"]) : end][a["d"] > d0 + 1] = a["suffix"].astype(np.int64) + (end - len(a["ci"]))
-    q_all = np.full(len(c), np.nan)
-    q_all[depth == d0 + 1] = join(lambda a: a["q"])
-    counts, names, totals, flags, sums = np.zeros(len(c), np.int64), [], [], [], []
+    ends = np.cumsum([a["rows"] for a in parts])
+    x, n_all = join(lambda a: a["word"][a["xi"]]), join(lambda a: a["n"].astype(np.int64))
+    depth = np.full(len(x), d1) if one else join(lambda a: a["d"].astype(np.int64) + d0)
+    top = depth == d0 + 1
+    c, q_all = np.zeros(len(x), np.uint64), np.full(len(x), np.nan)
+    c[top] = join(lambda a: a["context"][a["ci"]] if one else a["context"])
+    q_all[top] = join(lambda a: a["q"])
+    suffix, left = np.zeros(len(x), np.int64), np.zeros(len(x), np.uint64)
+    if not one:
+        deep = np.flatnonzero(~top)
+        suffix[deep] = deep - join(lambda a: a["suffix"].astype(np.int64))
+        left[deep] = join(lambda a: a["word"][a["left"]])
+    counts, all_total, all_flag = (np.zeros(len(c), t) for t in (np.int64, np.int64, np.uint8))
+    shared_sums = []
     many = join(lambda a: a["context"][a["k"] > 1]) if one else np.zeros(0, np.uint64)
     resolved, by_depth = None if one else np.zeros(len(c)), np.argsort(depth, kind="stable")
     cuts = np.searchsorted(depth[by_depth], np.arange(d0 + 1, d1 + 2))
@@ -308,6 +326,8 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) ->
         if a == b:
             break
         mine = m = by_depth[a:b]
+        if d > d0 + 1:
+            c[m] = left[m] + BASE * c[suffix[m]]
         g, at, inv = distinct(gram(c[m], d, x[m]))
         n = np.bincount(inv, n_all[m], len(g)).astype(np.int64)
         counts[m] = n[inv]
@@ -326,20 +346,21 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) ->
             resolved[mine] = logs[inv]
         grows = (total >= MIN_COUNT) & (most(n, logs, ctx, total) >= MIN_G2)
         shared = np.isin(some, many)
-        names.append(some)
-        totals.append(total.astype(np.int64))
-        flags.append(np.where(shared, 4, kept | grows * 2).astype(np.uint8))
-        sums.append((some[shared], total[shared], different[shared], nlogn[shared], nq[shared]))
-    order = np.argsort(name := np.concatenate(names))
-    name, total, flag = name[order], np.concatenate(totals)[order], np.concatenate(flags)[order]
+        of = ctx[inv]
+        all_total[mine], all_flag[mine] = total[of], np.where(shared, 4, kept | grows * 2)[of]
+        shared_sums.append((some[shared], total[shared], different[shared], nlogn[shared], nq[shared]))
     schema = [x.split()[0] for x in REPLY.split(", ")]
     nothing = {f: pa.nulls(1, t) for f, t in (("context", pa.int64()), ("total", pa.int64()), ("different", pa.int64()), ("nlogn", pa.float64()), ("nq", pa.float64()), ("asked", pa.list_(pa.int64())))}
     for (s, h, a), end in zip(asked, ends):
-        where = np.searchsorted(name, a["context"])
-        reply = pack(n=small(counts[end - len(a["ci"]) : end]), total=small(total[where]), flag=flag[where], ci=a["ci"])
+        own = slice(end - a["rows"], end)
+        if one:
+            at = np.zeros(len(a["context"]), np.int64)
+            at[a["ci"]] = np.arange(own.start, end)
+            reply = pack(n=small(counts[own]), total=small(all_total[at]), flag=all_flag[at], ci=a["ci"])
+        else:
+            reply = pack(n=small(counts[own]), total=small(all_total[own]), flag=all_flag[own])
         yield batch(schema, slice=pa.array([s]), shard=pa.array([h], pa.int32()), payload=pa.array([reply], pa.binary()), **nothing)
-    for i, found in enumerate(zip(*[np.concatenate(y) for y in zip(*sums)])):
-        context, total_, different_, nlogn_, nq_ = found
+    for context, total_, different_, nlogn_, nq_ in zip(*[np.concatenate(y) for y in zip(*shared_sums)]):
         who = [s for s, _, a in asked if (a["context"] == context).any()]
         yield batch(schema, slice=pa.nulls(1, pa.int64()), shard=pa.nulls(1, pa.int32()), payload=pa.nulls(1, pa.binary()), context=pa.array([int(context.view(np.int64))]), total=pa.array([int(total_)]), different=pa.array([int(different_)]), nlogn=pa.array([float(nlogn_)]), nq=pa.array([float(nq_)]), asked=pa.array([who], pa.list_(pa.int64())))
 
@@ -420,7 +441,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     def message(slice_: int, shard: int, payload: bytes) -> pa.RecordBatch:
         return batch(["slice", "shard", "payload"], slice=pa.array([slice_]), shard=pa.array([shard], pa.int32()), payload=pa.array([payload], pa.binary()))
 
-    def replied(replies: DataFrame, shared: DataFrame | None, apply) -> DataFrame:
+    def replied(replies: DataFrame, shared: DataFrame | None, apply, old: DataFrame | None = None) -> DataFrame:
         """Slices after `apply` to each and what it was sent, (shard, payload) and what was decided on shared contexts."""
         known = "array<struct<context:bigint,total:bigint,kept:int>>"
         blank = lambda df, *missing: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in missing])
@@ -444,15 +465,15 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
                 r["state"], r["live"] = apply(r, payloads, known_)
                 yield pa.RecordBatch.from_pylist([{c: r[c] for c in names}], schema=to_arrow)
 
-        to_arrow = pa.schema([("slice", pa.int64()), ("ids", arrow_ids), ("n", pa.list_(pa.int64())), ("counted", pa.bool_()), ("out", pa.bool_()), ("live", pa.int64()), ("state", pa.binary())])
         saved = scratch.save(all_.repartition(parts, "slice").mapInArrow(run, columns))
-        scratch.drop(state, replies)
+        scratch.drop(old or state, replies)
         tidy(spark)
         return saved
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_ids = pa.list_(to_arrow_type(docs.schema[doc_id].dataType))
+    to_arrow = pa.schema([("slice", pa.int64()), ("ids", arrow_ids), ("n", pa.list_(pa.int64())), ("counted", pa.bool_()), ("out", pa.bool_()), ("live", pa.int64()), ("state", pa.binary())])
     home = lambda words: (mix(words) % np.uint64(shards)).astype(np.int64)
 
     def ask_words(batches):
@@ -469,9 +490,17 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     different, total = counted.where("slice is null").agg(F.coalesce(F.sum("different"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     norm = float(total + 0.5 * (different + 1))  # one more for what was never seen
 
+    def strip(batches):
+        for r in rows(batches):
+            a = unpack(r["state"])
+            # the order of the hashes and their shards are all that the answers need
+            r["state"] = pack(home=small(home(a["words"])), x=a["x"])
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in names}], schema=to_arrow)
+
     def begin(r, payloads, _):
         a = unpack(r["state"])
-        counts, numbers, shard = np.zeros(len(a["words"]), np.int64), np.zeros(len(a["words"]), np.int64), home(a["words"])
+        shard = a["home"].astype(np.int64)
+        counts, numbers = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
         for h, p in payloads.items():
             got = unpack(p)
             counts[shard == h], numbers[shard == h] = got["n"], got["number"].astype(np.int64) * shards + h
@@ -480,7 +509,8 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
         back[order] = np.arange(len(order))
         return pack(words=small(np.diff(numbers[order], prepend=0)), x=small(back[a["x"]]), counts=small(counts[order]), norm=np.array([norm])), max(1, len(a["x"]))
 
-    state = replied(counted, None, begin)
+    whole, state = state, state.mapInArrow(strip, columns)
+    state = replied(counted, None, begin, whole)
     d0, d1 = 0, 1
     live = size
     while live:
