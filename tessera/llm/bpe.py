@@ -298,7 +298,8 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocab
     came back.  An empty text has no tokens and comes back.  A null text has
     null in all columns but doc_id.  Null, equal or clashing ids pass through.
     `vocabulary` is a rank file that every worker can read; the merges are
-    those of its ranks, ties leftmost first.  Nothing is shuffled.
+    those of its ranks, ties leftmost first.  Nothing is shuffled.  An empty
+    table gives no rows; extra columns are ignored.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
