@@ -221,9 +221,9 @@ def kept_documents(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", tex
     Viterbi decoding labels content.  Lines are separated by line feeds; blank
     ones don't count.  Null texts and texts without words have no content and
     go.  Repeated rows are judged alike, each by itself; ids pass through,
-    nulls included.  Whole texts are labelled, without a shuffle.  Of label
-    sequences that score alike the one with the lesser labels is taken.  An
-    empty table gives no rows; extra columns are ignored.
+    nulls included.  Whole texts are labelled, without a shuffle.  Of labels
+    that score alike content is taken.  An empty table gives no rows; extra
+    columns are ignored.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
