@@ -265,3 +265,25 @@ def test_graph_files_read_escapes_once(spark, tmp_path):
     (tmp_path / "a.ttl").write_text('@prefix x: <http://x/> .\n# a comment with _:no\nx:1 a x:T ; x:p "a _:b", 5 , _:b .\nPREFIX y: <http://y/>\n_:b y:q "d"@en .\n')
     rows = sorted((r["s"], r["p"].rsplit("/", 1)[1], r["o"]["kind"], r["o"]["lex"], r["o"]["lang"]) for r in read_turtle(spark, str(tmp_path / "a.ttl")).collect())
     assert rows == sorted([("http://x/1", "22-rdf-syntax-ns#type", 0, "http://x/T", ""), ("http://x/1", "p", 1, "a _:b", ""), ("http://x/1", "p", 1, "5", ""), ("http://x/1", "p", 2, "_:b", ""), ("_:b", "q", 1, "d", "en")])
+
+
+def test_only_small_scans_are_broadcast_by_hint(spark, sf, monkeypatch):
+    from tessera import catalogue
+    from tessera.operators import joins as J
+
+    text = catalogue.P + catalogue.SPARQL["path_join_4_bushy"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree = Engine(spark, sf, planner="given", op=NLJ, decomposition=None).query(text)
+        assert "BroadcastHashJoin" in tree._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(J, "BROADCAST_BYTES", 100)
+        large = Engine(spark, sf, planner="given", op=NLJ, decomposition=None).query(text)
+        assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+        assert large.exceptAll(tree).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # texts count by their bytes, not by rows
+    docs = VirtualSource(spark, sf)
+    scan = docs.scan((parse("SELECT * { ?d <http://ex.org/documents#text> ?t }").patterns[0],))
+    assert scan.size > sum(len(r["text"].encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r["text"])
