@@ -425,6 +425,8 @@ def test_mixing_rows(spark):
         assert count[i, t] in (n * math.floor(e[s]), n * math.ceil(e[s]))
     assert plain(mixing.mix(df)) == plain(mixing.mix(df)) and mixing.mix(awkward(spark, True)).count() == 0
     assert mixing.mix(df, {"s1": 0.0}).count() == 0
+    plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan  # no text goes by its source
     clash = mixing.mix(df.withColumn("Copy", F.lit("old")), copy="copy")
     assert clash.columns == [*df.columns, "copy"] and plain(clash) == plain(out)
 
