@@ -24,6 +24,8 @@ from .exchange import MESSAGE, ask, deliver, messages, record
 K = 50
 BASE = 0x9E3779B97F4A7C15 | 1
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Marks of texts are broadcast up to this many bytes.
+BROADCAST_BYTES = 64 << 20
 #: Characters of text in a slice, and tokens of the corpus for each shard.
 CHARS, TOKENS = 8_000_000, 4_000_000
 
@@ -597,6 +599,9 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     known = F.struct(F.col("id").isNull().alias("null"), "id")
     copied = r.texts.groupBy("t").agg(F.count("*").alias("c"), F.min(known).alias("keep")).where("c > 1")
     marks = scratch.save(cuts.join(copied, "t", "full").select(F.col("t").alias("mark"), "cuts", F.col("keep")))
+    # where they are small, marks go to the texts; else each text goes to its mark
+    size = marks.agg(F.coalesce(F.sum(128 + 16 * F.coalesce(F.size("cuts"), F.lit(0))), F.lit(0))).first()[0]
+    marks = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
     rows = flat.select(digest(str(text_at)).alias("t"), F.struct(F.col(f"`{id_at}`").isNull().alias("null"), F.col(f"`{id_at}`").alias("id")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in places]).alias("row"))
     marked = rows.join(marks, F.col("t") == F.col("mark"), "left").where("keep is null or key = keep")
     # of rows with one id and one text the first stays: only those are numbered
