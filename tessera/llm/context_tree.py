@@ -431,6 +431,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     def exchange(ask, answer, n: int) -> DataFrame:
         out = state.mapInArrow(ask, "slice long, shard int, payload binary").repartitionById(n, F.col("shard")).mapInArrow(answer, REPLY)
         saved = scratch.save(out)
+        del out  # else its shuffle files stay
         tidy(spark)
         return saved
 
@@ -467,6 +468,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
 
         saved = scratch.save(all_.repartition(parts, "slice").mapInArrow(run, columns))
         scratch.drop(old or state, replies)
+        del all_
         tidy(spark)
         return saved
 
