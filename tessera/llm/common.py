@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import pickle
 import sys
@@ -133,6 +134,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 4_000_0
     for b in batches:
         for part in cut(b, text_at, chars):
             yield part, part.column(text_at).to_pylist()
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: workers live on between tasks, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:

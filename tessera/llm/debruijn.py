@@ -27,7 +27,7 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Marks of texts are broadcast up to this many bytes.
 BROADCAST_BYTES = 64 << 20
 #: Characters of text in a slice, and tokens of the corpus for each shard.
-CHARS, TOKENS = 8_000_000, 4_000_000
+CHARS, TOKENS = 4_000_000, 4_000_000
 
 
 class Slice:

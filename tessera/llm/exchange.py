@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, release, tidy
 
 MESSAGE = "slice long, shard int, payload binary"
 #: (slice, shard or -1, payload): a slice's own state has shard -1.
@@ -28,6 +28,7 @@ def record(x: Message) -> pa.RecordBatch:
 def messages(batches: Iterable[pa.RecordBatch]) -> Iterator[Message]:
     for b in batches:
         yield from zip(*[b.column(c).to_pylist() for c in ("slice", "shard", "payload")])
+    release()
 
 
 def ask(slices: DataFrame, scratch: Scratch, shards: int, question: Callable[[bytes], Iterable[tuple[int, bytes]]], answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
