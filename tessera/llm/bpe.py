@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, worker_store
+from .common import cut, release, worker_store
 
 #: Where the vocabulary is; a rank file of lines "base64-token rank".
 VOCABULARY = os.environ.get("TESSERA_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text that are encoded at once; a longer text is not cut.
-CHARS = 4_000_000
+#: Bytes of text that are encoded at once, which bounds what a slice adds to what is remembered; a longer text is not cut.
+CHARS = 1_000_000
 #: Pre-tokens up to this many characters are remembered, in two generations of this many each.
 REMEMBER_CHARS, REMEMBER = 48, 400_000
 #: A space with white space behind it, as str.isspace() has it.
@@ -319,6 +319,7 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocab
             n[has], n_bytes[has], ok[has] = some, size, same
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]).astype(np.int32)), pa.array(flat), mask=pa.array(~has))
             yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n.astype(np.int32), mask=~has), pa.array(n_bytes, mask=~has), pa.array(ok, mask=~has)], names=["doc_id", "token_ids", "n_tokens", "n_bytes", "round_trip"])
+        release()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens int, n_bytes long, round_trip boolean")
 

@@ -743,3 +743,20 @@ def test_forest_keeps_components():
             for i, j in zip(a.tolist(), b.tolist()):
                 root[i] = root[j] = min(root[i], root[j])
         assert {**{v: v for v in root}, **dict(zip(x.tolist(), y.tolist()))} == root
+
+
+# -- 7, memory
+
+
+def test_bpe_slices_are_small(monkeypatch):
+    """Two workers share what an executor's heap leaves: what is remembered at once is bounded by the slice, not by the batch."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "REMEMBER", 1000)
+    texts = [" ".join(f"{i:05d}" for i in range(a, a + 1000)) for a in range(0, 300_000, 1000)]
+    batch, c, most = pa.record_batch([pa.array(range(300)), pa.array(texts)], names=["doc_id", "text"]), bpe.Codec(bpe.read_ranks()), 0
+    for part in bpe.cut(batch, 1, bpe.CHARS):
+        back, n = c.decode_column(*c.encode_column(part.column(1)))
+        assert bytes(back).decode() == "".join(part.column(1).to_pylist())
+        most = max(most, len(c.words.new) + len(c.words.old))
+    assert most < 200_000
