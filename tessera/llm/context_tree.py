@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, mix, pack, small, tidy, unpack
+from . import common
+from .common import Scratch, cut, mix, small, tidy, worker_store
 
 #: A context is kept if it occurs this often and its next words diverge from those of its longest kept suffix: G2 = 2 N KL
 #: at least critical() of their number and this, and KL (nats a word) at least MIN_KL.
@@ -31,6 +33,16 @@ SINGLE = 4
 REPLY = "slice long, shard int, payload binary, context long, total long, different long, nlogn double, nq double, asked array<long>"
 
 
+def pack(**arrays: np.ndarray) -> bytes:
+    """common.pack() with the lowest bytes of all values first, then the next, and so on: high bytes repeat and so compress."""
+    return common.pack(**{f"{k} {a.dtype.str}": np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T for k, a in arrays.items()})
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    found = {tuple(k.split(" ")): a for k, a in common.unpack(data).items()}
+    return {k: np.ascontiguousarray(a.reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for (k, t), a in found.items()}
+
+
 def tokens(text: str) -> list[str]:
     """What single spaces separate; a newline is a token too.  Nothing of the text is lost."""
     return text.replace("\n", " \n ").split(" ") if text else []
@@ -42,8 +54,8 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists = pa.compute.split_pattern(pa.compute.replace_substring(texts.filter(pa.array(some)), "\n", " \n "), " ")
     n[some] = np.asarray(pa.compute.list_value_length(lists))
     flat = lists.flatten().dictionary_encode()
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(flat.dictionary))
-    words, at = np.unique(h, return_inverse=True)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(flat.dictionary))
+    words, _, at = distinct(h)
     return words, at[np.asarray(flat.indices)], n
 
 
@@ -52,6 +64,17 @@ def gram(context: np.ndarray, d: int, x: np.ndarray) -> np.ndarray:
     return context + np.uint64(pow(int(BASE), int(d), 1 << 64)) * x
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i for i < n, kept between tasks."""
+    kept = worker_store("powers")
+    if len(kept.get("both", [[]])[0]) < n:
+        both = np.full(n, BASE, np.uint64), np.full(n, pow(int(BASE), -1, 1 << 64), np.uint64)
+        both[0][0] = both[1][0] = 1
+        kept["both"] = [np.cumprod(x) for x in both]
+    power, back = kept["both"]
+    return power[:n], back[:n]
+
+
 def critical(df: np.ndarray) -> np.ndarray:
     """The 0.1 % point of chi-square (Wilson and Hilferty), MIN_G2 at least."""
     return np.maximum(MIN_G2, df * (1 - 2 / (9 * df) + 3.0902 * np.sqrt(2 / (9 * df))) ** 3)
@@ -77,18 +100,23 @@ class Slice:
         self.n, self.words, self.x = np.asarray(n, np.int64), words, x
         self.which = np.arange(len(self.n)) if which is None else which
         self.first = np.cumsum(self.n) - self.n
-        size = len(x)
         self.text = np.repeat(np.arange(len(self.n)), self.n)
-        self.place = np.arange(size) - self.first[self.text]
-        power, back = np.full(size + 1, BASE, np.uint64), np.full(size + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
-        power[0] = back[0] = 1
-        self.back = np.cumprod(back)
-        # words are hashes at first and numbers later; the numbers are spread again
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.astype(np.uint64))[x] * np.cumprod(power)[:-1])]) if size else np.zeros(1, np.uint64)
-
-    def context(self, i: np.ndarray, d: int) -> np.ndarray:
+        self.place = np.arange(len(x)) - self.first[self.text]
+
+    @cached_property
+    def spread(self) -> np.ndarray:
+        """Words are hashes at first and numbers later; the numbers are spread again."""
+        return mix(self.words.astype(np.uint64))
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.spread[self.x] * powers(len(self.x) + 1)[0][:-1])])
+
+    def context(self, i: np.ndarray, d) -> np.ndarray:
         """Hashes of the d words before each place."""
-        return (self.sums[i] - self.sums[i - d]) * self.back[i - d]
+        if np.ndim(d) == 0 and d == 1:
+            return self.spread[self.x[i - 1]]
+        return (self.sums[i] - self.sums[i - d]) * powers(len(self.x) + 1)[1][i - d]
 
     @classmethod
     def of(cls, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,26 +145,35 @@ class Slice:
             s.rare = np.unpackbits(a["rare"], count=len(s.x)).astype(bool)
         return s
 
-    def save(self) -> bytes:
-        """Without what no live place needs: the texts that have none, and what follows a text's last one."""
-        last = np.full(len(self.n), -1)
-        last[self.text[self.live]] = self.place[self.live]  # in order, so the last stays
-        keep = self.place <= last[self.text]
-        words, x = np.unique(self.x[keep], return_inverse=True)
-        live = (np.cumsum(keep) - 1)[self.live]
-        some = last >= 0
-        return pack(which=small(self.which[some]), n=small(last[some] + 1), words=small(np.diff(self.words[words], prepend=0)), x=small(x), live=small(np.diff(live, prepend=0)), q=self.q.astype(np.float32), k=small(self.k), done=self.done, rare=np.packbits(self.rare[keep]))
+    def save(self, d: int) -> bytes:
+        """Without what no live place needs, d being the depth that is settled.
+
+        A place that is rare has a context of d + 1 words or fewer that is below MIN_COUNT, and so is any that holds it.  So no
+        context of a later place goes back further than d words before the last rare place; what stays are stretches of texts.
+        """
+        rare, start = np.flatnonzero(self.rare), self.live - self.place[self.live]
+        before = np.searchsorted(rare, self.live) - 1
+        start = np.maximum(start, np.where(before >= 0, rare[before] - d, 0)) if len(rare) else start
+        size = len(self.x)
+        keep = np.cumsum(np.bincount(start, minlength=size + 1) - np.bincount(self.live + 1, minlength=size + 1))[:size] > 0
+        first = keep & (self.place == 0)
+        first[1:] |= keep[1:] & ~keep[:-1]
+        at = np.cumsum(keep) - 1
+        x, used = self.x[keep], np.zeros(len(self.words), bool)
+        used[x] = True
+        begins = at[first]
+        return pack(which=small(self.which[self.text[first]]), n=small(np.diff(begins, append=len(x))), words=small(np.diff(self.words[used], prepend=0)), x=small((np.cumsum(used) - 1)[x]), live=small(np.diff(at[self.live], prepend=0)), q=self.q.astype(np.float32), k=small(self.k), done=self.done, rare=np.packbits(self.rare[keep]))
 
     def begin(self, counts: np.ndarray, norm: float, spread: int) -> None:
         """From the counts of `words` in the corpus: depth 0 is scored, and words that are frequent are contexts."""
         counts = counts.astype(np.int64)
-        q = np.log((counts + 0.5) / norm)[self.x]
-        before = np.concatenate([np.zeros(1, np.int64), counts[self.x][:-1]]) if len(self.x) else np.zeros(0, np.int64)
+        q, often = np.log((counts + 0.5) / norm), np.zeros(len(self.x), bool)
+        often[1:] = (counts >= MIN_COUNT)[self.x[:-1]]
         scored = self.place > 0
-        self.live = np.flatnonzero(scored & (before >= MIN_COUNT))
-        self.rare = scored & (before < MIN_COUNT)
-        self.q, self.k = q[self.live], 1 + before[self.live] // spread
-        self.done = np.bincount(self.text[self.rare], q[self.rare], len(self.n)).astype(float)
+        self.live = np.flatnonzero(scored & often)
+        self.rare = scored & ~often
+        self.q, self.k = q[self.x[self.live]], (1 + counts // spread)[self.x[self.live - 1]]
+        self.done = np.bincount(self.text[self.rare], q[self.x[self.rare]], len(self.n)).astype(float)
         self.counts, self.norm = counts, norm
 
     def places(self, d0: int, d1: int, shards: int):
@@ -145,30 +182,32 @@ class Slice:
 
         All contexts that extend one of depth d0 + 1 go to one shard, unless that is shared by several.
         """
-        one = d1 == d0 + 1
-        depths = np.minimum(self.place[self.live], d1) - d0
-        j = np.repeat(np.arange(len(self.live)), depths)
-        d = np.full(len(j), d1) if one else np.arange(len(j)) - np.repeat(np.cumsum(depths) - depths, depths) + d0 + 1
-        i = self.live[j]
-        piece = mix(self.words.astype(np.uint64)[self.x[self.live]]) % self.k.astype(np.uint64) if one else np.zeros(len(self.live), np.uint64)
-        home = mix(self.context(self.live, d0 + 1) + piece * BASE) % np.uint64(shards)
-        bits = len(self.words).bit_length()
-        rest = 64 - bits - shards.bit_length()
-        c = self.context(i, d)
-        # should the rest of the bits not tell contexts apart, one may have two rows
-        key = (home << np.uint64(bits) | self.x[self.live].astype(np.uint64))[j] << np.uint64(rest) | mix(c + (d * 2).astype(np.uint64)) >> np.uint64(64 - rest)
-        order = np.argsort(key)
-        new = runs(key[order], c[order], d[order])
-        row = np.empty(len(order), np.int64)
-        row[order] = np.cumsum(new) - 1
-        first = np.minimum.reduceat(order, np.flatnonzero(new))
-        shard = home[j[first]].astype(np.int64)
-        if not one:  # rows of a place follow each other, so that the words before it compress
-            by = np.lexsort((first, shard))
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.arange(len(by))
-            row, first, shard = rank[row], first[by], shard[by]
-        return j, d, c, row, shard, first
+        one, n_live = d1 == d0 + 1, len(self.live)
+        if one:  # every live place has a longer context
+            j, d, i = np.arange(n_live), np.full(n_live, d1), self.live
+            c = self.context(i, d1)
+        else:
+            depths = np.minimum(self.place[self.live], d1) - d0
+            j = np.repeat(np.arange(n_live), depths)
+            d = np.arange(len(j)) - np.repeat(np.cumsum(depths) - depths, depths) + d0 + 1
+            i = self.live[j]
+            c = self.context(i, d)
+        base = powers(d1 + 1)[0]
+        # the word whose number is 0 adds nothing to a hash, so that depths must be told apart
+        _, first, row = distinct(c + base[d1] * self.spread[self.x[i]] if one else c + base[d] * self.spread[self.x[i]] + mix(d.astype(np.uint64)))
+        near = self.live[j[first]]
+        piece = mix(self.words.astype(np.uint64)[self.x[near]]) % self.k[j[first]].astype(np.uint64) if one else np.uint64(0)
+        shard = mix(self.context(near, d0 + 1) + piece * BASE) % np.uint64(shards)
+        # in a block, rows of a place follow each other, so that the words before it compress
+        then, bits = (self.x[near], len(self.words).bit_length()) if one else (first, len(j).bit_length())
+        by = ordered(shard << np.uint64(bits) | then.astype(np.uint64), bits + shards.bit_length())
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        return j, d, c, rank[row], shard[by].astype(np.int64), first[by]
+
+    def names(self, d0: int, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """What tells apart the contexts of d0 + 1 words before places, whose hashes are c: numbers of their words if they are one or two."""
+        return c if d0 > 1 else (self.x[i - 1] << 32 | self.x[i - 1 - d0]).astype(np.uint64)
 
     def requests(self, d0: int, d1: int, shards: int) -> Iterator[tuple[int, dict]]:
         """What to ask for the depths d0 < d <= d1: (shard, message)."""
@@ -180,16 +219,21 @@ class Slice:
         # a row's suffix is the row of the same place at the depth before
         suffix, d, c, j = row[first - 1], d[first], c[first], j[first]
         i = self.live[j]
-        x, q, k, left = self.x[i], self.q[j], self.k[j], self.x[i - d]
+        x, q, k, left, names = self.x[i], self.q[j], self.k[j], self.x[i - d], self.names(d0, c, i) if one else None
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a == b:
                 continue
             if one:
-                contexts, at, ci = distinct(c[a:b])
-                new = runs(x[a:b])
-                parts = {"context": contexts, "ci": small(ci), "k": small(k[a:b][at]), "xi": small(new)}
-                words = x[a:b][new]
+                contexts, at, ci = distinct(names[a:b])
+                parts = {"ci": small(ci), "k": small(k[a:b][at])}
+                ends, words = [contexts >> np.uint64(32), contexts & np.uint64(0xFFFFFFFF)], x[a:b][runs(x[a:b])]
+                if d0 == 1:
+                    words = distinct(np.concatenate([words.astype(np.uint64), *ends]))[0].astype(np.int64)
+                    parts |= {"near": small(np.diff(np.searchsorted(words, ends[0]), prepend=0)), "left": small(np.searchsorted(words, ends[1]))}
+                else:
+                    parts["context"] = contexts if d0 else small(np.diff(self.words[ends[0].astype(np.int64)], prepend=0))
+                parts["xi"] = small(np.diff(np.searchsorted(words, x[a:b]), prepend=-1))
             else:
                 # but for the first depth, a context is its suffix and a word before it
                 words, xi = np.unique(np.concatenate([x[a:b], left[a:b]]), return_inverse=True)
@@ -205,11 +249,12 @@ class Slice:
             return
         j, d, context, row, shard, first = self.places(d0, d1, shards)
         n, total, flag = (np.zeros(len(shard), t) for t in (np.int64, np.int64, np.uint8))
+        names = self.names(d0, context[first], self.live[j[first]]) if d1 == d0 + 1 else None
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
                 reply = unpack(replies[s])
-                of = reply["ci"] if d1 == d0 + 1 else slice(None)
+                of = slice(None) if names is None else distinct(names[a:b])[2]
                 n[a:b], total[a:b], flag[a:b] = reply["n"], reply["total"].astype(np.int64)[of], reply["flag"][of]
         if (flag & 4).any():  # decided elsewhere
             known = {x["context"]: x for x in shared}
@@ -218,13 +263,17 @@ class Slice:
                 total[r], flag[r] = found["total"], 2 | found["kept"]
         kept, grows = flag & 1 > 0, flag & 2 > 0
         open_ = np.ones(len(self.live), bool)
-        start = np.searchsorted(j, np.arange(len(self.live)))
+        start = j if d1 == d0 + 1 else np.flatnonzero(runs(j))
         j = np.arange(len(self.live))
         for at in range(d1 - d0):
             # the places that are still looked at at this depth, in order
             i, r = self.live[j], row[start[j] + at]
             m, t = n[r], total[r]
-            self.q[j] = np.where(kept[r], np.log((m + PRIOR * np.exp(self.q[j])) / (t + PRIOR)), self.q[j])
+            if d1 == d0 + 1:  # all places of a row have the same
+                q = self.q[first]
+                self.q = np.where(kept, np.log((n + PRIOR * np.exp(q)) / (total + PRIOR)), q)[row]
+            else:
+                self.q[j] = np.where(kept[r], np.log((m + PRIOR * np.exp(self.q[j])) / (t + PRIOR)), self.q[j])
             # the context of one word more is what the place before asked for, if it did
             near = np.zeros(len(i), bool)
             near[1:] = np.diff(i) == 1
@@ -238,7 +287,7 @@ class Slice:
             if not len(j):
                 break
         shut = ~open_
-        np.add.at(self.done, self.which[self.text[self.live[shut]]], self.q[shut])
+        self.done = self.done + np.bincount(self.which[self.text[self.live[shut]]], self.q[shut], len(self.done))
         self.live, self.q, self.k = self.live[open_], self.q[open_], self.k[open_]
 
 
@@ -255,13 +304,28 @@ def runs(*columns: np.ndarray) -> np.ndarray:
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(different values in order, a place of each, which of them each is)."""
-    order = np.argsort(x)
+    order = ordered(x)
     new = runs(x[order])
     inv = np.empty(len(x), np.int64)
     inv[order] = np.cumsum(new) - 1
     return x[order[new]], order[new], inv
 
 
+def ordered(x: np.ndarray, bits: int = 64) -> np.ndarray:
+    """A stable argsort of uint64 below 2 ** bits.
+
+    Values are sorted with their places in their low bits, at a quarter of argsort()'s time.  Should the bits that this takes from
+    them be needed to tell two apart, they are sorted as they are.
+    """
+    own = max(1, len(x).bit_length())
+    lost = max(0, bits + own - 64)
+    order = np.sort((x >> np.uint64(lost)) << np.uint64(own) | np.arange(len(x), dtype=np.uint64)) & np.uint64((1 << own) - 1)
+    order = order.astype(np.int64)
+    if lost and ((y := x[order])[1:] < y[:-1]).any():
+        return np.argsort(x, kind="stable")
+    return order
+
+
 def most(n: np.ndarray, logs: np.ndarray, ctx: np.ndarray, total: np.ndarray) -> np.ndarray:
     """A bound on the G2 of all longer contexts, from the counts of a context's next words and ln q, what it gives them.
 
@@ -303,7 +367,10 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) ->
         if one:
             a["xi"] = np.cumsum(a["xi"], dtype=np.int64) - 1
         if not d0:
+            a["context"] = mix(np.cumsum(a["context"], dtype=np.uint64))
             a["q"] = np.log((a["counts"].astype(np.int64) + 0.5) / norm)[a["xi"]]
+        elif d1 == 2:
+            a["context"] = a["word"][a["left"]] + BASE * a["word"][np.cumsum(a["near"], dtype=np.int64)]
     join = lambda f: np.concatenate([f(a) for a in parts])
     ends = np.cumsum([a["rows"] for a in parts])
     x, n_all = join(lambda a: a["word"][a["xi"]]), join(lambda a: a["n"].astype(np.int64))
@@ -356,7 +423,7 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) ->
         if one:
             at = np.zeros(len(a["context"]), np.int64)
             at[a["ci"]] = np.arange(own.start, end)
-            reply = pack(n=small(counts[own]), total=small(all_total[at]), flag=all_flag[at], ci=a["ci"])
+            reply = pack(n=small(counts[own]), total=small(all_total[at]), flag=all_flag[at])
         else:
             reply = pack(n=small(counts[own]), total=small(all_total[own]), flag=all_flag[own])
         yield batch(schema, slice=pa.array([s]), shard=pa.array([h], pa.int32()), payload=pa.array([reply], pa.binary()), **nothing)
@@ -370,7 +437,7 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     asked = [(s, h, unpack(p)) for b in batches for s, h, p in zip(*[b.column(c).to_pylist() for c in ("slice", "shard", "payload")])]
     if not asked:
         return
-    words, inv = np.unique(np.concatenate([a["word"] for _, _, a in asked]), return_inverse=True)
+    words, inv = np.unique(np.concatenate([np.cumsum(a["word"], dtype=np.uint64) for _, _, a in asked]), return_inverse=True)
     n = np.bincount(inv, np.concatenate([a["n"].astype(np.int64) for _, _, a in asked])).astype(np.int64)
     schema = [x.split()[0] for x in REPLY.split(", ")]
     rest = {"context": pa.nulls(1, pa.int64()), "nlogn": pa.nulls(1, pa.float64()), "nq": pa.nulls(1, pa.float64()), "asked": pa.nulls(1, pa.list_(pa.int64()))}
@@ -414,7 +481,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
                 n, words, x = Slice.of(part.column(1))
                 one = lambda a, t: pa.array([a], t)
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                yield batch(names, slice=one(task << 24 | seq, pa.int64()), ids=ids, n=one(n, pa.list_(pa.int64())), counted=part.column(2).slice(0, 1), out=part.column(3).slice(0, 1), live=one(len(x), pa.int64()), state=one(pack(words=words, x=small(x)), pa.binary()))
+                yield batch(names, slice=one(task << 24 | seq, pa.int64()), ids=ids, n=one(n, pa.list_(pa.int64())), counted=part.column(2).slice(0, 1), out=part.column(3).slice(0, 1), live=one(len(x), pa.int64()), state=one(pack(words=np.diff(words, prepend=np.uint64(0)), x=small(x)), pa.binary()))
                 seq += 1
 
     used = lambda d, counted, out: d.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.lit(counted).alias("counted"), F.lit(out).alias("out"))
@@ -481,12 +548,12 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     def ask_words(batches):
         for r in rows(batches):
             a, n = unpack(r["state"]), np.array(r["n"], np.int64)
-            words, x, first = a["words"], a["x"], (np.cumsum(n) - n)[n > 0]
+            words, x, first = np.cumsum(a["words"], dtype=np.uint64), a["x"], (np.cumsum(n) - n)[n > 0]
             count = np.bincount(x, minlength=len(words)) * r["counted"]
             assert (words[x[first]] == BEGIN).all()
             shard = home(words)
             for h in np.unique(shard):
-                yield message(r["slice"], int(h), pack(word=words[shard == h], n=small(count[shard == h])))
+                yield message(r["slice"], int(h), pack(word=np.diff(words[shard == h], prepend=np.uint64(0)), n=small(count[shard == h])))
 
     counted = exchange(ask_words, tally, shards)
     different, total = counted.where("slice is null").agg(F.coalesce(F.sum("different"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
@@ -496,7 +563,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
         for r in rows(batches):
             a = unpack(r["state"])
             # the order of the hashes and their shards are all that the answers need
-            r["state"] = pack(home=small(home(a["words"])), x=a["x"])
+            r["state"] = pack(home=small(home(np.cumsum(a["words"], dtype=np.uint64))), x=a["x"])
             yield pa.RecordBatch.from_pylist([{c: r[c] for c in names}], schema=to_arrow)
 
     def begin(r, payloads, _):
@@ -533,7 +600,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
                 return r["state"], 0
             s = Slice.load(r["n"], r["state"], spread)
             s.apply(d0, d1, some, payloads, known, spread)
-            return s.save(), len(s.live)
+            return s.save(d1), len(s.live)
 
         replies = exchange(ask, lambda batches, d0=d0, d1=d1: settle(batches, d0, d1, norm), some)
         shared = replies.where("slice is null")

@@ -649,6 +649,46 @@ def test_words_tree_scores_other_texts(spark):
     assert len(empty) == 4 and sum(r["log_prob"] is None for r in empty) == 1
 
 
+def test_words_tree_states_hold_what_live_places_need():
+    rng = np.random.default_rng(3)
+    x = rng.integers(2, 100, 3000)
+    x[1000:1010], x[2000:2004], x[0] = 1, 1, 0
+    s = context_tree.Slice(np.array([3000]), np.arange(100), x)
+    s.begin(np.where(np.arange(100) == 1, 60, 5), 600.0, 1 << 20)
+    assert s.live.tolist() == [*range(1001, 1011), *range(2001, 2005)]
+    state = s.save(0)
+    a = context_tree.unpack(state)
+    assert len(a["x"]) < 30 and a["n"].tolist() == [11, 5] and a["which"].tolist() == [0, 0]
+    less = context_tree.Slice.load(None, state)
+    deep = [5, 9, 13]
+    for d in (1, 3):
+        assert (less.context(less.live[deep], d) == s.context(s.live[deep], d)).all()
+    assert (less.rare[less.live - 1] == s.rare[s.live - 1]).all() and np.allclose(less.q, s.q) and np.allclose(less.done, s.done)
+
+
+def test_words_tree_rows_tell_depths_apart():
+    x = np.array([2, 1, 0, 0, 1, 0, 0, 1, 1, 0, 0, 0, 1, 2, 1, 0, 0, 1, 0])
+    s = context_tree.Slice(np.array([len(x)]), np.arange(3), x)  # a word of number 0 adds nothing to a hash
+    s.live = np.arange(2, len(x))
+    s.q, s.k = np.zeros(len(s.live)), np.ones(len(s.live), np.int64)
+    for d0, d1 in ((1, 2), (1, 6)):
+        j, d, c, row, shard, first = s.places(d0, d1, 4)
+        grams = [(int(k), *x[i - k : i + 1]) for i, k in zip(s.live[j], d)]
+        assert len({*zip(grams, row)}) == len({*grams}) == len(shard) == row.max() + 1
+        assert [grams[f] for f in first] == [grams[np.flatnonzero(row == r)[0]] for r in range(len(first))] and (np.diff(shard) >= 0).all()
+
+
+def test_words_tree_order_and_messages():
+    rng = np.random.default_rng(4)
+    for x in (rng.integers(0, 1 << 63, 5000), rng.integers(0, 50, 5000), (7 << 60) + rng.integers(0, 50, 5000), np.zeros(0, int), np.array([3])):
+        x = x.astype(np.uint64)
+        assert (context_tree.ordered(x) == np.argsort(x, kind="stable")).all()
+        values, at, inv = context_tree.distinct(x)
+        assert (values == np.unique(x)).all() and (values[inv] == x).all() and (x[at] == values).all()
+        back = context_tree.unpack(context_tree.pack(x=x, f=x.astype(np.float32), b=x > 3))
+        assert (back["x"] == x).all() and (back["f"] == x.astype(np.float32)).all() and (back["b"] == (x > 3)).all() and back["b"].dtype == bool
+
+
 # -- 9, calibration
 
 
