@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Scratch, cut, mix, small, tidy, worker_store
+from .common import Scratch, cut, mix, release, small, tidy, worker_store
 
 #: A context is kept if it occurs this often and its next words diverge from those of its longest kept suffix: G2 = 2 N KL
 #: at least critical() of their number and this, and KL (nats a word) at least MIN_KL.
@@ -430,6 +430,7 @@ def settle(batches: Iterator[pa.RecordBatch], d0: int, d1: int, norm: float) ->
     for context, total_, different_, nlogn_, nq_ in zip(*[np.concatenate(y) for y in zip(*shared_sums)]):
         who = [s for s, _, a in asked if (a["context"] == context).any()]
         yield batch(schema, slice=pa.nulls(1, pa.int64()), shard=pa.nulls(1, pa.int32()), payload=pa.nulls(1, pa.binary()), context=pa.array([int(context.view(np.int64))]), total=pa.array([int(total_)]), different=pa.array([int(different_)]), nlogn=pa.array([float(nlogn_)]), nq=pa.array([float(nq_)]), asked=pa.array([who], pa.list_(pa.int64())))
+    release()
 
 
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,6 +452,7 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, slice=pa.array([s]), shard=pa.array([h], pa.int32()), payload=pa.array([reply], pa.binary()), total=pa.nulls(1, pa.int64()), different=pa.nulls(1, pa.int64()), **rest)
     ok = (words != BEGIN) & (n > 0)
     yield batch(schema, slice=pa.nulls(1, pa.int64()), shard=pa.nulls(1, pa.int32()), payload=pa.nulls(1, pa.binary()), total=pa.array([int(n[ok].sum())]), different=pa.array([int(ok.sum())]), **rest)
+    release()
 
 
 def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", chars: int = CHARS, spread: int = SPREAD) -> DataFrame:
@@ -483,6 +485,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
                 yield batch(names, slice=one(task << 24 | seq, pa.int64()), ids=ids, n=one(n, pa.list_(pa.int64())), counted=part.column(2).slice(0, 1), out=part.column(3).slice(0, 1), live=one(len(x), pa.int64()), state=one(pack(words=np.diff(words, prepend=np.uint64(0)), x=small(x)), pa.binary()))
                 seq += 1
+        release()
 
     used = lambda d, counted, out: d.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.lit(counted).alias("counted"), F.lit(out).alias("out"))
     if train_on is None:
@@ -505,6 +508,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     def rows(batches):
         for b in batches:
             yield from b.to_pylist()
+        release()
 
     def message(slice_: int, shard: int, payload: bytes) -> pa.RecordBatch:
         return batch(["slice", "shard", "payload"], slice=pa.array([slice_]), shard=pa.array([shard], pa.int32()), payload=pa.array([payload], pa.binary()))

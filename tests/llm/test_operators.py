@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -689,6 +690,20 @@ def test_words_tree_order_and_messages():
         assert (back["x"] == x).all() and (back["f"] == x.astype(np.float32)).all() and (back["b"] == (x > 3)).all() and back["b"].dtype == bool
 
 
+def test_words_tree_gives_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(context_tree, "release", lambda: calls.append(1))
+    x = np.zeros(60, int)
+    x[0] = 1
+    s = context_tree.Slice(np.array([60]), np.arange(2), x)
+    s.begin(np.array([59, 1]), 60.0, 1 << 20)
+    one = lambda h, p: pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([h], pa.int32()), pa.array([p], pa.binary())], names=["slice", "shard", "payload"])
+    asked = [one(h, context_tree.pack(**a)) for h, a in s.requests(0, 1, 1)]
+    assert len(list(context_tree.settle(iter(asked), 0, 1, 60.0))) == 1 and len(calls) == 1
+    words = one(0, context_tree.pack(word=np.array([5, 4], np.uint64), n=np.array([3, 2])))
+    assert len(list(context_tree.tally(iter([words])))) == 2 and len(calls) == 2
+
+
 # -- 9, calibration
 
 
