@@ -63,11 +63,21 @@ class Scratch:
         atexit.register(self.close)
 
     def save(self, df: DataFrame) -> DataFrame:
+        path = self.path()
+        self.write(df, path)
+        return self.read(path, df.schema)
+
+    def path(self) -> str:
+        """Of a new table, for those that are written in parts, in folders name=value of it."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
+        return f"{self.root}/{self.n}"
+
+    def write(self, df: DataFrame, path: str, *by: str) -> None:
         with batch_bytes(self.spark):
-            df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+            (df.write.partitionBy(*by) if by else df.write).parquet(path)
+
+    def read(self, path: str, schema) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 
@@ -75,6 +85,9 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch_path)
 
+    def drop_part(self, table: DataFrame, part: str) -> None:
+        self._delete(f"{table._scratch_path}/{part}")
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

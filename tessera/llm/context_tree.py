@@ -30,6 +30,8 @@ CHARS, WORDS, SPREAD = 4_000_000, 2_000_000, 1 << 20
 STATE = 6_000_000
 #: Depths that are settled one by one; after that, blocks go up to four times as deep as before, by as many as half the words.
 SINGLE = 4
+#: Slices get their answers in up to so many rounds, a power of 2: only a round's share of them is shuffled, or there twice, at a time.
+ROUNDS = 4
 REPLY = "slice long, shard int, payload binary, context long, total long, different long, nlogn double, nq double, asked array<long>"
 
 
@@ -455,6 +457,11 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def round_of(rounds: int) -> Column:
+    """The round of a slice; what one of fewer rounds has, if they divide these, is whole rounds of these."""
+    return F.pmod(F.xxhash64("slice"), F.lit(rounds)).cast("int")
+
+
 def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", chars: int = CHARS, spread: int = SPREAD) -> DataFrame:
     """(doc_id, n_symbols, log_prob, perplexity), one row for each row of `docs`, under the tree of all texts of `train_on` (default: `docs`).
 
@@ -470,7 +477,8 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     The tree is never in one place.  Texts are cut into slices; for each depth (or block of depths, beyond SINGLE) slices send
     what follows what in them to the shards of a hash of the context, shards count, test and smooth, and answer the slices that
     asked.  So memory is that of a slice or shard, at any size of corpus.  A context that occurs over `spread` times is shared by
-    several shards, and their sums decide.
+    several shards, and their sums decide.  Words are counted, and slices get their answers, in rounds, after each of which
+    what it no longer needs is deleted.
     """
     spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
     scratch, columns = Scratch(spark, "tree"), f"slice long, ids array<{kind}>, n array<long>, counted boolean, out boolean, live long, state binary"
@@ -489,21 +497,32 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
 
     used = lambda d, counted, out: d.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.lit(counted).alias("counted"), F.lit(out).alias("out"))
     if train_on is None:
-        state = scratch.save(used(docs, True, True).mapInArrow(tokenise, columns))
+        state = used(docs, True, True).mapInArrow(tokenise, columns)
     else:
         # ids of the other table are of no use here
         other = used(train_on.withColumn(doc_id, F.lit(None).cast(kind)), True, False)
-        state = scratch.save(used(docs, False, True).mapInArrow(tokenise, columns).unionByName(other.mapInArrow(tokenise, columns).withColumn("slice", -1 - F.col("slice"))))
+        state = used(docs, False, True).mapInArrow(tokenise, columns).unionByName(other.mapInArrow(tokenise, columns).withColumn("slice", -1 - F.col("slice")))
+    state, path = state.withColumn("part", round_of(ROUNDS)), scratch.path()
+    scratch.write(state, path, "part")
+    state = scratch.read(path, state.schema)
     slices, size = state.agg(F.count("*"), F.coalesce(F.sum("live"), F.lit(0))).first()
     least = spark.sparkContext.defaultParallelism
     shards, parts = max(least, math.ceil(size / WORDS)), max(1, math.ceil(slices / 2))
 
-    def exchange(ask, answer, n: int) -> DataFrame:
-        out = state.mapInArrow(ask, "slice long, shard int, payload binary").repartitionById(n, F.col("shard")).mapInArrow(answer, REPLY)
-        saved = scratch.save(out)
-        del out  # else its shuffle files stay
-        tidy(spark)
-        return saved
+    def rounds() -> int:
+        """As many as leave each of them enough tasks."""
+        return min(ROUNDS, 1 << max(0, (parts // least).bit_length() - 1))
+
+    def exchange(ask, answer, n: int, times: int = 1) -> DataFrame:
+        """The answers; ask(batches, i) is to ask, in round i, the shards that are i modulo the number of rounds."""
+        path = scratch.path()
+        for i in range(times):
+            shard = F.floor(F.col("shard") / times).cast("int")
+            out = state.mapInArrow(lambda batches, i=i: ask(batches, i), "slice long, shard int, payload binary").repartitionById(math.ceil(n / times), shard).mapInArrow(answer, REPLY)
+            scratch.write(out, f"{path}/part={i}")
+            del out  # else its shuffle files stay
+            tidy(spark)
+        return scratch.read(path, f"{REPLY}, part int")
 
     def rows(batches):
         for b in batches:
@@ -513,14 +532,15 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     def message(slice_: int, shard: int, payload: bytes) -> pa.RecordBatch:
         return batch(["slice", "shard", "payload"], slice=pa.array([slice_]), shard=pa.array([shard], pa.int32()), payload=pa.array([payload], pa.binary()))
 
-    def replied(replies: DataFrame, shared: DataFrame | None, apply, old: DataFrame | None = None) -> DataFrame:
-        """Slices after `apply` to each and what it was sent, (shard, payload) and what was decided on shared contexts."""
+    def replied(replies: DataFrame, shared: DataFrame | None, apply, first=lambda df: df) -> DataFrame:
+        """Slices after `first`, and `apply` to each and what it was sent, (shard, payload) and what was decided on shared contexts.
+
+        A round's slices are deleted as soon as the new ones are written.
+        """
         known = "array<struct<context:bigint,total:bigint,kept:int>>"
         blank = lambda df, *missing: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in missing])
         fields = [(c, state.schema[c].dataType) for c in names] + [("shard", "int"), ("payload", "binary"), ("known", known)]
-        all_ = blank(state, *fields).unionByName(blank(replies.where("slice is not null").select("slice", "shard", "payload"), *fields))
-        if shared is not None:
-            all_ = all_.unionByName(blank(shared, *fields))
+        times, path = rounds(), scratch.path()
 
         def run(batches):
             of: dict[int, list] = {}
@@ -537,11 +557,18 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
                 r["state"], r["live"] = apply(r, payloads, known_)
                 yield pa.RecordBatch.from_pylist([{c: r[c] for c in names}], schema=to_arrow)
 
-        saved = scratch.save(all_.repartition(parts, "slice").mapInArrow(run, columns))
-        scratch.drop(old or state, replies)
-        del all_
-        tidy(spark)
-        return saved
+        for i in range(times):
+            all_ = blank(first(state.where(F.col("part") % times == i)), *fields)
+            for sent in (replies.where("slice is not null").select("slice", "shard", "payload"), shared):
+                if sent is not None:
+                    all_ = all_.unionByName(blank(sent.where(round_of(times) == i), *fields))
+            scratch.write(all_.repartition(math.ceil(parts / times), "slice").mapInArrow(run, columns), f"{path}/part={i}")
+            for part in range(i, ROUNDS, times):
+                scratch.drop_part(state, f"part={part}")
+            del all_
+            tidy(spark)
+        scratch.drop(state, replies, *([] if shared is None else [shared]))
+        return scratch.read(path, f"{columns}, part int")
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -549,17 +576,19 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     to_arrow = pa.schema([("slice", pa.int64()), ("ids", arrow_ids), ("n", pa.list_(pa.int64())), ("counted", pa.bool_()), ("out", pa.bool_()), ("live", pa.int64()), ("state", pa.binary())])
     home = lambda words: (mix(words) % np.uint64(shards)).astype(np.int64)
 
-    def ask_words(batches):
+    times = math.ceil(rounds() / 2)  # each reads all slices
+
+    def ask_words(batches, i):
         for r in rows(batches):
             a, n = unpack(r["state"]), np.array(r["n"], np.int64)
             words, x, first = np.cumsum(a["words"], dtype=np.uint64), a["x"], (np.cumsum(n) - n)[n > 0]
             count = np.bincount(x, minlength=len(words)) * r["counted"]
             assert (words[x[first]] == BEGIN).all()
             shard = home(words)
-            for h in np.unique(shard):
+            for h in np.unique(shard[shard % times == i]):
                 yield message(r["slice"], int(h), pack(word=np.diff(words[shard == h], prepend=np.uint64(0)), n=small(count[shard == h])))
 
-    counted = exchange(ask_words, tally, shards)
+    counted = exchange(ask_words, tally, shards, times)
     different, total = counted.where("slice is null").agg(F.coalesce(F.sum("different"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     norm = float(total + 0.5 * (different + 1))  # one more for what was never seen
 
@@ -582,8 +611,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
         back[order] = np.arange(len(order))
         return pack(words=small(np.diff(numbers[order], prepend=0)), x=small(back[a["x"]]), counts=small(counts[order]), norm=np.array([norm])), max(1, len(a["x"]))
 
-    whole, state = state, state.mapInArrow(strip, columns)
-    state = replied(counted, None, begin, whole)
+    state = replied(counted, None, begin, lambda df: df.mapInArrow(strip, columns))
     d0, d1 = 0, 1
     live = size
     while live:
@@ -591,7 +619,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
         # as many tasks as what is still open asks for
         some = min(shards, max(least, math.ceil(2 * live * (d1 - d0) / WORDS)))
 
-        def ask(batches, d0=d0, d1=d1, some=some):
+        def ask(batches, _, d0=d0, d1=d1, some=some):
             for r in rows(batches):
                 if r["live"]:
                     for h, a in Slice.load(r["n"], r["state"], spread).requests(d0, d1, some):
@@ -613,7 +641,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
             sums = shared.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("total", "different", "nlogn", "nq")])
             sums = sums.select("context", "total", diverges(*[F.col(c) for c in ("total", "different", "nlogn", "nq")]).cast("int").alias("kept"))
             asking = shared.select("context", F.explode("asked").alias("slice")).distinct()
-            decided = asking.join(sums, "context").groupBy("slice").agg(F.collect_list(F.struct("context", "total", "kept")).alias("known"))
+            decided = scratch.save(asking.join(sums, "context").groupBy("slice").agg(F.collect_list(F.struct("context", "total", "kept")).alias("known")))
         state = replied(replies, decided, apply)
         live, n_bytes = state.agg(F.sum("live"), F.sum(F.octet_length("state"))).first()
         parts = min(parts, max(least, math.ceil(n_bytes / STATE)))

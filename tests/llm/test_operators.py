@@ -7,10 +7,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cascade, components, context_tree, crf, debruijn, metric_join, mixing, sharding, simhash, suffix_tree, toxicity
+from tessera.llm import bpe, cascade, common, components, context_tree, crf, debruijn, metric_join, mixing, sharding, simhash, suffix_tree, toxicity
 from tessera.llm.common import Scratch
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
@@ -650,6 +651,29 @@ def test_words_tree_scores_other_texts(spark):
     assert len(empty) == 4 and sum(r["log_prob"] is None for r in empty) == 1
 
 
+def test_words_tree_answers_slices_in_rounds(spark, tmp_path, monkeypatch):
+    """Slices are never all there twice, nor all shuffled at once, and scores don't depend on the rounds."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(f"word{rng.randrange(40)}" for _ in range(60))) for i in range(150)], "doc_id long, text string")
+    at_once, real = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        real(self, path, *args, **kwargs)
+        files = [f for f in tmp_path.rglob("*.parquet") if "state" in pq.read_schema(f).names]
+        at_once.append(sum(pq.read_metadata(f).num_rows for f in files))
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(context_tree, "STATE", 50)  # else small states have one round
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    got = {r["doc_id"]: r["log_prob"] for r in context_tree.score_corpus(df, chars=600).collect()}
+    assert at_once[0] >= 64 and max(at_once) <= 1.5 * at_once[0]
+    monkeypatch.setattr(DataFrameWriter, "parquet", real)
+    one = {r["doc_id"]: r["log_prob"] for r in context_tree.score_corpus(df).collect()}
+    assert got.keys() == one.keys() and all(got[i] == pytest.approx(one[i], rel=1e-4) for i in one)
+
+
 def test_words_tree_states_hold_what_live_places_need():
     rng = np.random.default_rng(3)
     x = rng.integers(2, 100, 3000)
