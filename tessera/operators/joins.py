@@ -15,6 +15,8 @@ from ..terms import Rel
 BROADCAST_BYTES = 64 << 20
 #: A hash side is hinted up to this many bytes, above those of a broadcast; otherwise Spark decides.
 HASH_BYTES = 4 << 30
+#: A join that makes over so many rows for each that it reads, and more than a task should make, is spread over tasks by its rows; over so many at most.
+FANS_OUT, TASK_ROWS, TASKS = 16, 1 << 24, 10_000
 
 
 def reconcile(left: Rel, right: Rel) -> tuple[Rel, Rel, bool]:
@@ -58,6 +60,21 @@ def merged(df: DataFrame, left: Rel, right: Rel, common: list[str]) -> DataFrame
     return df.select(*cols, *[F.col(f"`{v}`") for v in right.types if v not in left.types])
 
 
+def tasks(left: Rel, right: Rel, common: list[str]) -> int:
+    """How many tasks a join of two scans needs by the rows that it makes, if its values are alike frequent; 0 where Spark's choice will do.
+
+    Two tables that meet in a link to a third, small one make far more rows than they have: tasks by their bytes, or by the
+    link's values, are then too few.
+    """
+    if not common or any(x.size is None or x.bound is None or x.values is None or x.df.isStreaming for x in (left, right)):
+        return 0
+    if left.bound * right.bound <= max(TASK_ROWS, FANS_OUT * (left.bound + right.bound)):
+        return 0
+    of = [n for v in common for x in (left, right) if (n := x.values(v)) is not None]
+    rows = left.bound * right.bound // max(1, *of) if of else 0
+    return min(TASKS, -(-rows // TASK_ROWS)) if rows > max(TASK_ROWS, FANS_OUT * (left.bound + right.bound)) else 0
+
+
 def inner_join(left: Rel, right: Rel, method: str | None = None) -> Rel:
     """Bag join; without a common variable the product."""
     left, right, possible = reconcile(left, right)
@@ -67,8 +84,14 @@ def inner_join(left: Rel, right: Rel, method: str | None = None) -> Rel:
     small_left = left.size is not None and (right.size is None or left.size <= right.size)
     if method == "SHJ" and any(x.size is not None and x.size <= BROADCAST_BYTES for x in (left, right)):
         method = None
-    lhs = hinted(left.df, left, method) if small_left and on is not None else left.df
-    rhs = hinted(renamed, right, method) if not small_left and on is not None else renamed
+    small = left if small_left else right
+    if possible and small.size is not None and small.size <= BROADCAST_BYTES and (n := tasks(left, right, common)):
+        n = max(n, left.df.sparkSession.sparkContext.defaultParallelism)
+        spread = lambda df: df.repartition(n, *df.columns)
+        lhs, rhs = (F.broadcast(left.df), spread(renamed)) if small_left else (spread(left.df), F.broadcast(renamed))
+    else:
+        lhs = hinted(left.df, left, method) if small_left and on is not None else left.df
+        rhs = hinted(renamed, right, method) if not small_left and on is not None else renamed
     df = lhs.crossJoin(rhs) if on is None else lhs.join(rhs, on)
     bound = left.bound * right.bound if on is None and left.bound is not None and right.bound is not None else None
     return Rel(merged(df, left, right, common), left.types | right.types, left.certain | right.certain, bound, left.observed + right.observed)

@@ -6,6 +6,7 @@ import datetime
 from functools import reduce
 from urllib.parse import urlsplit
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,7 +174,15 @@ class VirtualSource(Source):
         for c in conditions:
             df = df.where(c)
         out = df.select(*[c.alias(v) for v, (c, _) in columns.items()]) if columns else df.select()
-        return Rel(out, {v: k for v, (_, k) in columns.items()}, frozenset(columns), self.rows(t), size=self.width(t, out.schema))
+        return Rel(out, {v: k for v, (_, k) in columns.items()}, frozenset(columns), self.rows(t), size=self.width(t, out.schema), values=lambda v: self.values(t, columns[v][1]))
+
+    def values(self, t: TableMap, kind: VarType) -> int | None:
+        """Different keys at most in a column of a table: a row of their own table for each, as the mapping says."""
+        of = next((x for x in [*self.tables.values(), *TABLES.values()] if x.template == kind.of), None) if kind.cls == "key" else None
+        try:
+            return min(self.rows(t), self.rows(of)) if of else None
+        except AnalysisException:  # there is no such table
+            return None
 
     def width(self, t: TableMap, schema: T.StructType) -> int:
         """Bytes at most of a scan's rows in memory: columns of fixed size by their rows, others by the table's files, unpacked."""

@@ -287,3 +287,32 @@ def test_only_small_scans_are_broadcast_by_hint(spark, sf, monkeypatch):
     docs = VirtualSource(spark, sf)
     scan = docs.scan((parse("SELECT * { ?d <http://ex.org/documents#text> ?t }").patterns[0],))
     assert scan.size > sum(len(r["text"].encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r["text"])
+
+
+@pytest.mark.parametrize("name", ["object_object_join", "filter_var_var"])
+def test_joins_that_fan_out_are_spread_by_rows(spark, sf, duck, monkeypatch, name):
+    from tessera import catalogue
+    from tessera.operators import joins as J
+
+    monkeypatch.setattr(J, "TASK_ROWS", 50)
+    monkeypatch.setattr(J, "FANS_OUT", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalogue.QUERIES[name](spark, sf)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # 150 customers and 10 suppliers in 25 nations: no fewer tasks than cores, and not by nation
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan
+        assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, got.collect())) == sorted(duck.sql(catalogue.SQL[name]).fetchall())
+        monkeypatch.setattr(J, "TASK_ROWS", 10)
+        assert catalogue.QUERIES[name](spark, sf).rdd.getNumPartitions() == 150 * 10 // 25 // 10
+        # a link to a key makes no more rows than it has
+        monkeypatch.setattr(J, "FANS_OUT", 1)
+        path = catalogue.QUERIES["path_join_2"](spark, sf)
+        assert "REPARTITION_BY_NUM" not in path._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(J, "FANS_OUT", 0)
+        monkeypatch.setattr(J, "BROADCAST_BYTES", 100)
+        assert "REPARTITION_BY_NUM" not in catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
