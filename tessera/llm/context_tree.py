@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ PRIOR = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: No token holds a space, so no token is one of these.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(w)) for w in (b" begin", b" end"))
-#: Characters of text in a slice; words that a task of the counting side gets; occurrences beyond which a context has several tasks.
-CHARS, WORDS, SPREAD = 4_000_000, 2_000_000, 1 << 20
+#: Characters of text in a slice, no more than in a batch (common.BATCH); words that a task of the counting side gets; occurrences beyond which a context has several tasks.
+CHARS, WORDS, SPREAD = 8_000_000, 3_000_000, 1 << 20
 #: Bytes of slices for each task that gets their answers.
 STATE = 6_000_000
 #: Depths that are settled one by one; after that, blocks go up to four times as deep as before, by as many as half the words.
@@ -35,14 +37,29 @@ ROUNDS = 4
 REPLY = "slice long, shard int, payload binary, context long, total long, different long, nlogn double, nq double, asked array<long>"
 
 
+def codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Made once in a process: messages are many and small where slices and shards are many."""
+    kept = worker_store("codec")
+    if not kept:
+        kept["both"] = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return kept["both"]
+
+
 def pack(**arrays: np.ndarray) -> bytes:
-    """common.pack() with the lowest bytes of all values first, then the next, and so on: high bytes repeat and so compress."""
-    return common.pack(**{f"{k} {a.dtype.str}": np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T for k, a in arrays.items()})
+    """Arrays as one compressed value, in which the lowest bytes of all values of an array come first, then the next, and so on: high bytes repeat and so compress."""
+    planes = [a.tobytes() if a.itemsize == 1 else np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays.values()]
+    return pickle.dumps(([(k, a.dtype.str, len(a)) for k, a in arrays.items()], codec()[0].compress(b"".join(planes))))
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
-    found = {tuple(k.split(" ")): a for k, a in common.unpack(data).items()}
-    return {k: np.ascontiguousarray(a.reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for (k, t), a in found.items()}
+    heads, z = pickle.loads(data)
+    body, at, found = codec()[1].decompress(z), 0, {}
+    for k, t, n in heads:
+        t = np.dtype(t)
+        a = np.frombuffer(body, np.uint8, n * t.itemsize, at)
+        found[k] = a.view(t) if t.itemsize == 1 else np.ascontiguousarray(a.reshape(t.itemsize, -1).T).view(t).ravel()
+        at += n * t.itemsize
+    return found
 
 
 def tokens(text: str) -> list[str]:
@@ -259,10 +276,12 @@ class Slice:
                 of = slice(None) if names is None else distinct(names[a:b])[2]
                 n[a:b], total[a:b], flag[a:b] = reply["n"], reply["total"].astype(np.int64)[of], reply["flag"][of]
         if (flag & 4).any():  # decided elsewhere
-            known = {x["context"]: x for x in shared}
-            for r in np.flatnonzero(flag & 4):
-                found = known[int(context[first[r]].view(np.int64))]
-                total[r], flag[r] = found["total"], 2 | found["kept"]
+            known, totals, kept = (np.array([x[k] for x in shared], np.int64) for k in ("context", "total", "kept"))
+            order, r = np.argsort(known), np.flatnonzero(flag & 4)
+            asked = context[first[r]].view(np.int64)
+            at = order[np.minimum(np.searchsorted(known, asked, sorter=order), len(known) - 1)]
+            assert (known[at] == asked).all()
+            total[r], flag[r] = totals[at], 2 | kept[at]
         kept, grows = flag & 1 > 0, flag & 2 > 0
         open_ = np.ones(len(self.live), bool)
         start = j if d1 == d0 + 1 else np.flatnonzero(runs(j))
@@ -313,6 +332,11 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[order[new]], order[new], inv
 
 
+def grouped(x: np.ndarray, n: int) -> list[np.ndarray]:
+    """The places of each of 0 ... n - 1, in order."""
+    return np.split(order := np.argsort(x, kind="stable"), np.searchsorted(x[order], np.arange(1, n)))
+
+
 def ordered(x: np.ndarray, bits: int = 64) -> np.ndarray:
     """A stable argsort of uint64 below 2 ** bits.
 
@@ -507,7 +531,8 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     state = scratch.read(path, state.schema)
     slices, size = state.agg(F.count("*"), F.coalesce(F.sum("live"), F.lit(0))).first()
     least = spark.sparkContext.defaultParallelism
-    shards, parts = max(least, math.ceil(size / WORDS)), max(1, math.ceil(slices / 2))
+    # a slice has far fewer different words than words
+    shards, homes, parts = max(least, math.ceil(size / WORDS)), max(2 * least, math.ceil(size / WORDS / 4)), max(1, slices)
 
     def rounds() -> int:
         """As many as leave each of them enough tasks."""
@@ -574,7 +599,7 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
 
     arrow_ids = pa.list_(to_arrow_type(docs.schema[doc_id].dataType))
     to_arrow = pa.schema([("slice", pa.int64()), ("ids", arrow_ids), ("n", pa.list_(pa.int64())), ("counted", pa.bool_()), ("out", pa.bool_()), ("live", pa.int64()), ("state", pa.binary())])
-    home = lambda words: (mix(words) % np.uint64(shards)).astype(np.int64)
+    home = lambda words: (mix(words) % np.uint64(homes)).astype(np.int64)
 
     times = math.ceil(rounds() / 2)  # each reads all slices
 
@@ -584,11 +609,11 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
             words, x, first = np.cumsum(a["words"], dtype=np.uint64), a["x"], (np.cumsum(n) - n)[n > 0]
             count = np.bincount(x, minlength=len(words)) * r["counted"]
             assert (words[x[first]] == BEGIN).all()
-            shard = home(words)
-            for h in np.unique(shard[shard % times == i]):
-                yield message(r["slice"], int(h), pack(word=np.diff(words[shard == h], prepend=np.uint64(0)), n=small(count[shard == h])))
+            for h, at in enumerate(grouped(home(words), homes)):
+                if h % times == i and len(at):
+                    yield message(r["slice"], h, pack(word=np.diff(words[at], prepend=np.uint64(0)), n=small(count[at])))
 
-    counted = exchange(ask_words, tally, shards, times)
+    counted = exchange(ask_words, tally, homes, times)
     different, total = counted.where("slice is null").agg(F.coalesce(F.sum("different"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     norm = float(total + 0.5 * (different + 1))  # one more for what was never seen
 
@@ -602,10 +627,10 @@ def score_corpus(docs: DataFrame, *, train_on: DataFrame | None = None, doc_id:
     def begin(r, payloads, _):
         a = unpack(r["state"])
         shard = a["home"].astype(np.int64)
-        counts, numbers = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
+        counts, numbers, of = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64), grouped(shard, homes)
         for h, p in payloads.items():
             got = unpack(p)
-            counts[shard == h], numbers[shard == h] = got["n"], got["number"].astype(np.int64) * shards + h
+            counts[of[h]], numbers[of[h]] = got["n"], got["number"].astype(np.int64) * homes + h
         order = np.argsort(numbers)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))

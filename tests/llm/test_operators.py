@@ -674,6 +674,23 @@ def test_words_tree_answers_slices_in_rounds(spark, tmp_path, monkeypatch):
     assert got.keys() == one.keys() and all(got[i] == pytest.approx(one[i], rel=1e-4) for i in one)
 
 
+def test_suffix_tree_messages(spark, monkeypatch):
+    """Slices ask few shards for their words, which are few beside their places, and shared contexts are found at once."""
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"w{j}" for j in rng.zipf(1.5, 400) % 50)) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    want = {r["doc_id"]: r["log_prob"] for r in context_tree.score_corpus(df).collect()}
+    rows, read = [], common.Scratch.read
+    monkeypatch.setattr(common.Scratch, "read", lambda self, path, schema: (out := read(self, path, schema), rows.append(out.where("slice is not null").count()) if "asked" in out.columns else None)[0])
+    monkeypatch.setattr(context_tree, "WORDS", 250)
+    got = {r["doc_id"]: r["log_prob"] for r in context_tree.score_corpus(df, chars=4000, spread=100).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+    slices, shards = -(-sum(len(t) for _, t in docs) // 4000), 40 * 402 // 250
+    assert rows[0] <= slices * 1.3 * shards / 4
+    x = rng.integers(0, 7, 200)
+    assert [g.tolist() for g in context_tree.grouped(x, 9)] == [np.flatnonzero(x == i).tolist() for i in range(9)]
+
+
 def test_words_tree_states_hold_what_live_places_need():
     rng = np.random.default_rng(3)
     x = rng.integers(2, 100, 3000)
